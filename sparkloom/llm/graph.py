@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
@@ -14,13 +14,15 @@ def _directed(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    far = both.join(least, "u").select("v", F.least("u", "m").alias("m"), "u").where(F.col("v") > F.col("u"))
-    return far.select(F.col("v").alias("a"), F.col("m").alias("b"))
+    """Every larger neighbour of a vertex is tied to the least of its neighbours and itself."""
+    both = edges.select(F.explode(F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))).alias("e")).select("e.*")
+    least = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"))
+    far = both.where("v > u").join(least, "u")
+    return far.select(F.col("v").alias("hi"), F.col("m").alias("lo"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    """Every smaller neighbour of a vertex, and itself, is tied to the least of them."""
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
     near = edges.join(least, "hi")
     return near.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("m").alias("b")), F.struct(F.col("hi").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
@@ -31,16 +33,20 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
 
     edges: (a, b), both of one integer type. Hot vertices are safe: minima are combined before the
     shuffle, and the joins back are plain equi-joins that adaptive execution may split."""
-    current = ws.save(_directed(edges), f"{name}_0")
-    last, rounds = None, 0
-    while True:
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if tuple(state) == last or not state[0]:
-            break
-        last = tuple(state)
+    current, state = _measured(ws, _directed(edges), f"{name}_0")
+    rounds, last = 0, None
+    while state != last and state[0]:
+        last = state
         rounds += 1
-        moved = _directed(_small_star(_directed(_large_star(current))))
-        current = ws.save(moved, f"{name}_{rounds}")
+        current, state = _measured(ws, _directed(_small_star(_large_star(current))), f"{name}_{rounds}")
         ws.drop(f"{name}_{rounds - 1}")
     stars = current.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
+
+
+def _measured(ws: Workspace, edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The written edges, with their number and the sum of their hashes, taken while they are written."""
+    seen = Observation()
+    found = F.xxhash64("hi", "lo").cast("decimal(38,0)")
+    out = ws.narrow(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(found).alias("h")), name)
+    return out, (seen.get["n"], seen.get["h"])

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -37,7 +37,9 @@ class NearDup:
     """words a shingle; num / den: least similarity; trees, branch (positions a node chooses), depth
     (levels before node sizes count); sketch positions; node_limit and family_limit: most vertices
     that are compared exhaustively in one task; near: least sketch agreement of a candidate; stop and
-    star: sketch distances to a leader up to which a vertex ends there, and is tied to it."""
+    star: sketch distances to a leader up to which a vertex ends there, and is tied to it; max_levels:
+    levels after which a node that is still large is taken as one family (it then is compared in full);
+    leaders: rounds of leaders in a large family."""
 
     words: int = 5
     num: int = 85
@@ -46,12 +48,13 @@ class NearDup:
     branch: int = 3
     depth: int = 2
     sketch: int = 128
-    node_limit: int = 512
-    family_limit: int = 512
+    node_limit: int = 1024
+    family_limit: int = 1024
     near: float = 0.72
     stop: float = 0.27
     star: float = 0.55
     max_levels: int = 16
+    leaders: int = 1
     seed: int = 7
 
     @property
@@ -399,26 +402,35 @@ def _sized(nodes: DataFrame) -> DataFrame:
     return nodes.join(sizes, "node")
 
 
+def _settled(ws: Workspace, nodes: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The written nodes of more than one vertex, and the size of the largest."""
+    seen = Observation()
+    out = ws.narrow(_sized(nodes).observe(seen, F.max("m").alias("most")), name)
+    return out, seen.get["most"] or 0
+
+
 def _large_families(ws: Workspace, members: DataFrame, p: NearDup, parts: int) -> DataFrame:
     """Links within families beyond family_limit. Rounds of leaders link most of a family at linear
     cost; all that the first leader doesn't link is then compared with the whole family, block by block,
     but for pairs that are connected already or too far apart by their distances to that leader."""
     sets = ws.save(members.mapInArrow(_to_sets(p), "g long, rep long, s8 binary, items binary"), "big_sets")
     open_, links, lead1 = sets.select("g", "rep"), [], None
-    for r in range(3):
+    for r in range(p.leaders):
         leader = open_.groupBy("g").agg(F.min(F.struct(F.xxhash64(F.lit(r), "rep").alias("k"), "rep")).alias("l")).select("g", F.col("l.rep").alias("leader"))
         lead = leader.join(sets.select("g", F.col("rep").alias("leader"), F.col("items").alias("lead_items")), ["g", "leader"])
-        tested = ws.save(sets.join(open_, ["g", "rep"], "left_semi").join(lead, "g").select("g", "rep", "items", "leader", "lead_items").mapInArrow(_to_leader, "g long, rep long, leader long, common long, size long, lead_size long"), f"big_lead{r}")
+        tested = ws.narrow(sets.join(open_, ["g", "rep"], "left_semi").join(lead, "g").select("g", "rep", "items", "leader", "lead_items").mapInArrow(_to_leader, "g long, rep long, leader long, common long, size long, lead_size long"), f"big_lead{r}")
         linked = F.col("common") * p.den >= (F.col("size") + F.col("lead_size") - F.col("common")) * p.num
         links.append(tested.where(linked & (F.col("rep") != F.col("leader"))).select(F.col("rep").alias("a"), F.col("leader").alias("b")))
         if r == 0:
             apart = tested.where(~linked).select("g", "rep")  # only pairs of two that leader 1 links are connected for sure
             lead1 = tested.select("g", "rep", (1 - F.col("common") / (F.col("size") + F.col("lead_size") - F.col("common"))).alias("lead"))
         open_ = tested.where(~linked).select("g", "rep")
-    stars = links[0].union(links[1]).union(links[2])
+    stars = links[0]
+    for more in links[1:]:
+        stars = stars.union(more)
     comp = stars.groupBy("a").agg(F.min("b").alias("comp"))
-    open_ = ws.save(apart, "big_open")
-    count = ws.save(sets.select("g", F.lit(0).alias("o")).union(open_.select("g", F.lit(1).alias("o"))).groupBy("g").agg(F.sum(1 - F.col("o")).alias("n"), F.sum("o").alias("n_open")).where("n_open > 0")
+    open_ = ws.narrow(apart, "big_open")
+    count = ws.narrow(sets.select("g", F.lit(0).alias("o")).union(open_.select("g", F.lit(1).alias("o"))).groupBy("g").agg(F.sum(1 - F.col("o")).alias("n"), F.sum("o").alias("n_open")).where("n_open > 0")
                     .select("g", F.ceil(F.col("n") / p.family_limit).alias("nt"), F.ceil(F.col("n_open") / p.family_limit).alias("no")), "big_count")
     full = sets.join(lead1, ["g", "rep"]).join(comp.withColumnRenamed("a", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(count, "g")
     cut = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
@@ -427,7 +439,7 @@ def _large_families(ws: Workspace, members: DataFrame, p: NearDup, parts: int) -
     target = full.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("no") - 1))).select(pair(F.col("o"), cut("nt")).alias("pair"), F.lit(1).alias("side"), *cols)
     source = full.join(open_, ["g", "rep"], "left_semi").withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nt") - 1))).select(pair(cut("no"), F.col("t")).alias("pair"), F.lit(0).alias("side"), *cols)
     blocks = source.union(target).repartition(parts, "pair").sortWithinPartitions("pair", "side", "rep")
-    return ws.save(blocks.mapInArrow(_link_blocks(p), "a long, b long"), "big_links").union(stars)
+    return ws.narrow(blocks.mapInArrow(_link_blocks(p), "a long, b long"), "big_links").union(stars)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearDup = NearDup(), ws: Workspace | None = None) -> DataFrame:
@@ -435,33 +447,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearDup = Near
     p, ws = params, ws or Workspace(spark, "neardup")
     parts = shuffle_partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = ws.save(docs.mapInArrow(_describe(p), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "rows")
-    reps = ws.save(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sketch")).alias("x")).select("h1", "h2", F.col("x.doc_id").alias("rep"), F.col("x.sketch").alias("sketch")), "reps")
+    seen = Observation()
+    rows = ws.save(docs.mapInArrow(_describe(p), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary").observe(seen, F.count(F.lit(1)).alias("n")), "rows")
+    ws.sized_for(seen.get["n"])
+    reps = ws.narrow(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sketch")).alias("x")).select("h1", "h2", F.col("x.doc_id").alias("rep"), F.col("x.sketch").alias("sketch")), "reps")
     sketch = reps.select("rep", "sketch")
     short = F.substring("sketch", 1, p.sketch).alias("s8")
 
-    members = ws.save(_sized(sketch.mapInArrow(_plant(p), "node long, rep long")), "nodes0")
+    members, most = _settled(ws, sketch.mapInArrow(_plant(p), "node long, rep long"), "nodes0")
     small, ties, level, held = [], [], 0, ["nodes0"]
     while True:
         small.append(members.where(F.col("m") <= p.node_limit).select("node", "rep"))
-        big = members.where(F.col("m") > p.node_limit)
-        if big.isEmpty():
+        if most <= p.node_limit:
             break
+        big = members.where(F.col("m") > p.node_limit)
         level += 1
         seen = big.join(sketch, "rep").select("node", "rep", "sketch")
-        lead = seen.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "rep").alias("k"), "rep", short)).alias("l")).select("node", F.col("l.rep").alias("leader"), F.col("l.s8").alias("lead8"))
-        down = ws.save(seen.join(lead, "node").mapInArrow(_descend(p, level >= p.max_levels), "node long, a long, b long"), f"down{level}")
+        lead = seen.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep").alias("k"), "rep", short)).alias("l")).select("node", F.col("l.rep").alias("leader"), F.col("l.s8").alias("lead8"))
+        down = ws.narrow(seen.join(lead, "node").mapInArrow(_descend(p, level >= p.max_levels), "node long, a long, b long"), f"down{level}")
         ties.append(down.where("node is null").select("a", "b").distinct())
-        members = ws.save(_sized(down.where("node is not null").select("node", F.col("a").alias("rep"))), f"nodes{level}")
+        members, most = _settled(ws, down.where("node is not null").select("node", F.col("a").alias("rep")), f"nodes{level}")
         held += [f"down{level}", f"nodes{level}"]
     placed = small[0]
     for s in small[1:]:
         placed = placed.union(s)
-    placed = placed.join(reps.select("rep", short), "rep").select("node", "rep", "s8").repartition(parts, "node").sortWithinPartitions("node")
+    placed = placed.join(reps.select("rep", short), "rep").select("node", "rep", "s8").repartition(parts, "node").sortWithinPartitions("node", "rep")
     tied = placed.mapInArrow(_compare_nodes(p), "a long, b long")
     for t in ties:
         tied = tied.union(t)
-    family = ws.save(components(ws, tied, "ties").select(F.col("id").alias("rep"), F.col("component").alias("g")), "family")
+    family = ws.narrow(components(ws, tied, "ties").select(F.col("id").alias("rep"), F.col("component").alias("g")), "family")
     ws.drop(*held)
 
     sizes = family.groupBy("g").agg(F.count("*").alias("m"))
@@ -472,12 +486,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearDup = Near
     big = texts.where(F.col("m") > p.family_limit).select("g", "rep", "text", "s8")
     if not big.isEmpty():
         links = links.union(_large_families(ws, big, p, parts))
-    linked = ws.save(components(ws, links, "links"), "linked")
+    linked = ws.narrow(components(ws, links, "links"), "linked")
     ws.drop("texts", "big_sets")
 
     placed = rows.select("doc_id", "n_shingles", "h1", "h2").join(reps.select("h1", "h2", "rep").join(linked.withColumnRenamed("id", "rep"), "rep", "left"), ["h1", "h2"], "left")
     out = placed.select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("rep")), "doc_id").alias("component_id"))
-    out = ws.save(out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
+    out = ws.narrow(out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
     ws.drop("rows", "reps", "family", "linked")
     return out
 

@@ -29,8 +29,16 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        self.files = None  #: most files of a narrow table, once the number of rows is known
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
+    def sized_for(self, rows: int, per_file: int = 250_000) -> None:
+        """Narrow tables follow the number of rows, not the number of shuffle partitions."""
+        self.files = max(8, -(-rows // per_file))
+
+    def narrow(self, df: DataFrame, name: str) -> DataFrame:
+        return self.save(df.coalesce(self.files) if self.files else df, name)
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
