@@ -48,6 +48,14 @@ def _power(base: int, n: int) -> np.ndarray:
     return got
 
 
+def power(n: int) -> np.ndarray:
+    return _power(_P, n)
+
+
+def unpower(n: int) -> np.ndarray:
+    return _power(_P_INV, n)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; text i is bytes[offsets[i]:offsets[i + 1]]."""
     if isinstance(column, pa.ChunkedArray):
