@@ -15,7 +15,7 @@ def _directed(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a vertex is tied to the least of its neighbours and itself."""
-    both = edges.select(F.explode(F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))).alias("e")).select("e.*")
+    both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"))
     far = both.where("v > u").join(least, "u")
     return far.select(F.col("v").alias("hi"), F.col("m").alias("lo"))
@@ -24,8 +24,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a vertex, and itself, is tied to the least of them."""
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    near = edges.join(least, "hi")
-    return near.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("m").alias("b")), F.struct(F.col("hi").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+    near = edges.where("lo is not null").join(least, "hi").where("lo != m")
+    return near.select(F.col("lo").alias("a"), F.col("m").alias("b")).union(least.select(F.col("hi").alias("a"), F.col("m").alias("b")))
 
 
 def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
@@ -33,7 +33,9 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
 
     edges: (a, b), both of one integer type. Hot vertices are safe: minima are combined before the
     shuffle, and the joins back are plain equi-joins that adaptive execution may split."""
-    current, state = _measured(ws, _directed(edges), f"{name}_0")
+    first = ws.narrow(_directed(edges), f"{name}_edges")
+    current, state = _measured(ws, _directed(_small_star(first)), f"{name}_0")
+    ws.drop(f"{name}_edges")
     rounds, last = 0, None
     while state != last and state[0]:
         last = state
