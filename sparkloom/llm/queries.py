@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, tokencount, topk
+from . import chat, mixing, neardup, packing, tokencount, tokenfile, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_duplicates": neardup.op1_near_duplicates,
         "op2_exact_topk": topk.op2_exact_topk,
         "op5_token_counts": tokencount.op5_token_counts,
+        "op6_chat_format": chat.op6_chat_format,
+        "op7_mixing": mixing.op7_mixing,
+        "op8_token_files": tokenfile.op8_token_files,
+        "op9_packing": packing.op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_topk": topk.OP2_SQL,
+        "op6_chat_format": chat.OP6_SQL,
+        "op7_mixing": mixing.OP7_SQL,
     }
