@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, neardup, packing, tokencount, tokenfile, topk
+from . import chat, langid, mixing, neardup, packing, tokencount, tokenfile, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": mixing.op7_mixing,
         "op8_token_files": tokenfile.op8_token_files,
         "op9_packing": packing.op9_packing,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
