@@ -131,3 +131,30 @@ def count_by(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nd
     keys, weights = keys[order], weights[order]
     heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[heads], np.add.reduceat(weights, heads)
+
+
+class Tally:
+    """Sums by 64-bit key with bounded memory: full() says that it should be emptied."""
+
+    def __init__(self, limit: int = 1_500_000):
+        self.limit, self.parts, self.size = limit, [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.size += len(keys)
+        if self.size > self.limit and len(self.parts) > 1:
+            self.parts = [self.merged()]
+            self.size = len(self.parts[0][0])
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return count_by(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))
+
+    def full(self) -> bool:
+        return self.size > self.limit
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out = self.merged()
+        self.parts, self.size = [], 0
+        return out

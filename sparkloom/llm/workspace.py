@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,3 +70,15 @@ def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
         return []
     cuts = df.select(F.percentile_approx(F.col(column), F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)]), F.lit(max(10_000, 20 * parts)))).first()[0]
     return sorted({int(x) for x in cuts or []})
+
+
+def bucket_of(column: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are below the column, by a balanced tree of comparisons."""
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(column > bounds[middle], tree(middle + 1, high)).otherwise(tree(low, middle))
+
+    return tree(0, len(bounds))
