@@ -4,7 +4,7 @@ The lexicon is every term whose document frequency lies in a band: a share of at
 most ``common`` of all documents, that is, an inverse document frequency in [-ln common, -ln rare]. A
 document has some hundreds of distinct terms, so at most (their mean number) / rare terms are that
 frequent, whatever the corpus; that bounds what is broadcast. Each of ``lexicons`` random sub-lexicons
-keeps a term with one of eight rates from 1/2 to 1/256. A document's distinct terms in the lexicon are
+keeps a term with one of the rates 1 / 2^s of ``scales``. A document's distinct terms in the lexicon are
 sorted, and those in each sub-lexicon are hashed together. The fingerprint strings these hashes end to
 end, six hexadecimal digits each (zeros where no term fell into it). Dense sub-lexicons tell small edits
 of long texts, sparse ones large edits or short texts.
@@ -42,7 +42,7 @@ class IMatch:
     rare: float = 0.002
     common: float = 0.1
     lexicons: int = 64
-    scales: int = 8
+    scales: tuple[int, ...] = (1, 4, 5, 6, 7, 8, 9, 10)
     seed: int = 5
 
 
@@ -82,7 +82,7 @@ class Lexicon:
         self.mask = np.zeros(len(terms), np.uint64)
         for k in range(p.lexicons):
             draw = mix(self.terms ^ _U((p.seed << 32) + 7919 * (k + 1)))
-            rate = 1 + k % p.scales
+            rate = p.scales[k % len(p.scales)]
             self.mask |= (draw >> _U(64 - rate) == 0).astype(np.uint64) << _U(k)
 
     def hashes(self, column: pa.Array) -> tuple[np.ndarray, list[str]]:
