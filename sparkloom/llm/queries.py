@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, langid, mixing, neardup, packing, tokencount, tokenfile, topk
+from . import brown, chat, fingerprint, langid, mixing, neardup, packing, tokencount, tokenfile, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_duplicates": neardup.op1_near_duplicates,
         "op2_exact_topk": topk.op2_exact_topk,
         "op3_fingerprints": fingerprint.op3_fingerprints,
+        "op4_class_lm": brown.op4_class_lm,
         "op5_token_counts": tokencount.op5_token_counts,
         "op6_chat_format": chat.op6_chat_format,
         "op7_mixing": mixing.op7_mixing,
