@@ -119,7 +119,7 @@ def _shards(limit: int):
     return run
 
 
-def write_token_files(spark: SparkSession, docs: DataFrame, path: str, close: int, ws: Workspace, shard_bytes: int = 2 << 20) -> DataFrame:
+def write_token_files(spark: SparkSession, docs: DataFrame, path: str, close: int, ws: Workspace, shard_bytes: int = 1 << 18) -> DataFrame:
     """The written shards (part, seq, before: ids of the part's shards before it, n_ids, shard); parts
     and, in each, seqs ascend with doc_id. docs: (doc_id, text)."""
     parts = shuffle_partitions(spark)

@@ -45,9 +45,7 @@ class WordBpe:
     """The tokenizer in word_bpe_49k.json."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self._path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab, merges = spec["model"]["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
@@ -57,13 +55,20 @@ class WordBpe:
         self.end = spec["model"]["end_of_word_suffix"]
         self.byte_id = np.array([self.vocab[c] for c in self.chars], np.int64)
         self.last_id = np.array([self.vocab[c + self.end] for c in self.chars], np.int64)
-        joined = lambda a, b: self.vocab[a + b]
         key = np.array([(self.vocab[a] << 20) | self.vocab[b] for a, b in merges], np.int64)
         self.order = np.argsort(key)
         self.pair_key, self.pair_rank = key[self.order], self.order.astype(np.int64)
-        self.merged = np.array([joined(a, b) for a, b in merges], np.int64)
+        self.merged = np.array([self.vocab[a + b] for a, b in merges], np.int64)
         self._fast = None
-        self._merges = merges
+
+    @property
+    def library(self):
+        """The library's tokenizer, loaded for the first text that needs it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        return self._library
 
     # -- pre-tokens -------------------------------------------------------------------------------
 
@@ -154,7 +159,7 @@ class WordBpe:
         back = {c: bytes([b]) for b, c in enumerate(self.chars)}
         raw = lambda t: b"".join(back[c] for c in (t.removesuffix(self.end) if t.endswith(self.end) else t)) + (b"Z" if t.endswith(self.end) else b"")
         ranks = {raw(c): self.vocab[c] for c in self.chars} | {raw(c + self.end): self.vocab[c + self.end] for c in self.chars}
-        ranks |= {raw(a + b): self.vocab[a + b] for a, b in self._merges}
+        ranks |= {raw(t): i for t, i in self.vocab.items() if t not in self.special}
         return tiktoken.Encoding("word", pat_str="[^YZ]+Z|Y", mergeable_ranks=ranks, special_tokens={})
 
 
@@ -194,7 +199,7 @@ class Memo:
     """What was worked out for pre-tokens, by a 64-bit hash: an open-addressing table and a pool of the
     results' numbers. It is emptied when it holds limit pre-tokens, so its memory is bounded."""
 
-    def __init__(self, limit: int = 1 << 19):
+    def __init__(self, limit: int = 1 << 18):
         self.limit, self.slots = limit, 4 * limit
         self.clear()
 
@@ -289,15 +294,21 @@ class ByteBpe:
     def __init__(self, json_path: str, ranks_path: str):
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         with open(json_path, encoding="utf-8") as f:
             special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-        self.library = Tokenizer.from_file(json_path)
+        self._path, self._library = json_path, None
         self.fast = tiktoken.Encoding("byte", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self._ranks_only = "all"
+
+    @property
+    def library(self):
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        return self._library
 
     def encode(self, text: str) -> np.ndarray:
         try:
