@@ -198,8 +198,8 @@ def chunk_semantic(spark, d):
 toks AS (SELECT cid AS id, {TOK('text')} AS t FROM c), tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM toks) GROUP BY ALL), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM toks),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), q AS (SELECT DISTINCT item_id AS query_id, unnest({TOK('text')}) AS term FROM benchmark),
 scored AS (SELECT q.query_id, tf.id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.5 / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * len(toks.t) / st.mean))), 6) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN toks ON toks.id = tf.id, st GROUP BY ALL),
-{_ranked('scored', 20, 'top20')}, p AS (SELECT query_id, id // 1000 AS pid, min("rank") AS at, arg_min(score, "rank") AS score FROM top20 GROUP BY ALL)
-SELECT query_id, pid AS id, CAST("rank" AS INTEGER) AS "rank", score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY at, pid) AS "rank" FROM p) WHERE "rank" <= 5""")
+{_ranked('scored', 20, 'top20')}, p AS (SELECT query_id, id // 1000 AS pid, min("rank") AS best_at, arg_min(score, "rank") AS score FROM top20 GROUP BY ALL)
+SELECT query_id, pid AS id, CAST("rank" AS INTEGER) AS "rank", score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best_at, pid) AS "rank" FROM p) WHERE "rank" <= 5""")
 def parent_expand(spark, d):
     windows = chunking.fixed_windows(_docs(spark, d)).select((F.col("doc_id") * 1000 + F.col("ordinal")).alias("id"), "text", F.col("doc_id").alias("parent_id"))
     return search.expand_parents(search.bm25(_asks(spark, d), windows.select("id", "text"), 20), windows.select("id", "parent_id"), 5)
@@ -440,7 +440,7 @@ def ngram_copied(spark, d):
     return synth.copied_from(_t(spark, d, "benchmark").select("item_id", "text"), _docs(spark, d))
 
 
-@query("""WITH s AS (SELECT conv_id * 100 + turn AS id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM conversations WHERE role = 'user'),
+@query("""WITH s AS (SELECT min(id) AS id, w FROM (SELECT conv_id * 100 + turn AS id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) AS w FROM conversations WHERE role = 'user') GROUP BY w),
 p AS (SELECT a.id AS a, b.id AS b, round(CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM s a JOIN s b ON a.id < b.id WHERE len(a.w) > 0 AND len(b.w) > 0) SELECT * FROM p WHERE similarity >= 0.75""")
 def near_dup_jaccard(spark, d):
     x = _t(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")

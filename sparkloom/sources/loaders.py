@@ -14,6 +14,7 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import IngestError
 
@@ -254,6 +255,6 @@ def load(files: DataFrame) -> DataFrame:
     return loaded.select(F.substring(F.sha2(F.col("rel").cast("binary"), 256), 1, 16).alias("id"), "*")
 
 
-@F.pandas_udf("struct<text string, title string>")
+@F.pandas_udf(T.StructType().add("text", T.StringType()).add("title", T.StringType()))
 def html_text(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_html(h) for h in html], columns=["text", "title"])
