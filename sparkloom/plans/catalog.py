@@ -29,8 +29,15 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer tasks than there are cores is dealt out to all of them. Large tables, which have
+    more, are left as they are."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+
 def _docs(spark, d, *more) -> DataFrame:
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", *more)
+    return _spread(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", *more))
 
 
 def _asks(spark, d) -> DataFrame:

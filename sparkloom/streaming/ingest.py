@@ -14,7 +14,7 @@ def read_files(spark: SparkSession, folder: str, max_files: int = 1000) -> DataF
     """(id, rel, text) of the text files that land in a folder; each file is read once."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(folder)
     rel = F.substring_index("path", "/", -1)
-    return raw.select(F.substring(F.sha2(rel.cast("binary"), 256), 1, 16).alias("id"), rel.alias("rel"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return raw.select(F.substring(F.sha2(rel.cast("binary"), 256), 1, 16).alias("id"), rel.alias("rel"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def ingest(spark: SparkSession, docs: DataFrame, index: VersionedTable, checkpoint: str, method: str = "structure", **options) -> StreamingQuery:
