@@ -56,3 +56,14 @@ def test_run_applies_the_stages(spark, rows, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 200
+
+
+def test_near_copies_from_four_fifths_are_dropped(spark):
+    w = [f"w{i}" for i in range(104)]  # 100 runs of five words
+    edited = [*w[:30], "x", *w[31:70], "y", *w[71:]]  # 90 of 110
+    other = [f"v{i}" for i in range(104)]
+    texts = {1: w, 2: edited, 3: other, 4: other[:84], 5: other[:83]}  # 4: 80 of 100, 5: 79 of 100 with 3, 79 of 80 with 4
+    apart = {6: [f"u{i}" for i in range(104)], 7: [f"u{i}" for i in range(83)]}  # 79 of 100
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in {**texts, **apart}.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()} == {1, 3, 6, 7}
