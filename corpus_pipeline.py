@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
 documents as they came. Each works on all that its predecessor kept:
 
 1. language_id drops documents without a letter, or too far from every language's centroids.
-2. near_duplicates links documents whose sets of five-word runs are similar by 0.80 or more. It keeps of every component the document with the smallest doc_id; of
-   rows that repeat a doc_id, one. Rows without a doc_id stay.
+2. near_duplicates links documents whose sets of five-word runs are similar by 0.80 or more. It keeps
+   of every component the document with the smallest doc_id; of rows that repeat both doc_id and text, one.
+   Different texts under one doc_id are told apart (by a 64-bit hash). Rows without a doc_id stay.
 3. mixing repeats and samples documents so that sources come near their target weights.
 4. packing cuts the token ids into pieces and places them in sequences.
 """
@@ -28,11 +29,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    seen = neardup.near_duplicates(spark, docs.select("doc_id", "text"), NEAR)
-    gone = seen.where("not kept").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return left.withColumn("__nth", F.row_number().over(order)).where("__nth = 1 or doc_id is null").select(*docs.columns)
+    keyed = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    seen = neardup.near_duplicates(spark, keyed.select(F.col("__key").alias("doc_id"), "text"), NEAR)
+    ids = keyed.where("doc_id is not null").select("__key", F.col("doc_id").alias("__id")).distinct()
+    member = seen.where("doc_id is not null").select(F.col("doc_id").alias("__key"), "component_id").distinct().join(ids, "__key")
+    first = member.groupBy("component_id").agg(F.min(F.struct("__id", "__key")).alias("m")).select("m.__key")
+    order = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))
+    left = keyed.where("doc_id is not null").join(first, "__key", "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
+    return left.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

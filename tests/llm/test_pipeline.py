@@ -67,3 +67,11 @@ def test_near_copies_from_four_fifths_are_dropped(spark):
     rows = [(i, " ".join(t), "en", "s", 1) for i, t in {**texts, **apart}.items()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()} == {1, 3, 6, 7}
+
+
+def test_different_texts_under_one_doc_id_are_told_apart(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(50))
+    rows = [(1, text("a")), (7, text("a")), (7, text("b")), (8, text("c")), (8, text("d")), (8, text("d")), (None, text("a")), (None, text("a"))]
+    docs = spark.createDataFrame([(*x, "en", "s", 1) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, text("a")), (7, text("b")), (8, text("c")), (8, text("d")), (None, text("a")), (None, text("a"))])
