@@ -4,17 +4,19 @@ Training counts every token of the training documents (words and one end token a
 share of at least ``head`` of all tokens are head words; there are at most 1 / head of them, which
 bounds what is broadcast. Words with a share of at least ``core`` (at most 1 / core) are clustered:
 starting from frequency order they are moved one at a time to the class that most raises the likelihood
-of the class bigrams, until no move helps or ``rounds`` are over. All other words, seen or not, belong
-to classes by shape (their last byte, and whether they hold signs beyond ASCII), so that every word has
-one class. The end token is a class of its own.
+of the class bigrams, until no move helps or ``rounds`` are over; the other words meanwhile stand in classes
+by shape (their last byte, and whether they hold signs beyond ASCII). Then every other word of the training
+documents, however rare, goes to the cluster that by its own bigrams with these classes raises the likelihood
+most (one distributed pass), and class bigrams are counted anew. A word unseen in training takes the cluster
+that most words of its shape outside the core have. The end token is a class of its own.
 
 log10 P(text) is the sum over tokens of log10 P(class | previous class) + log10 P(word | class). Class
 transitions are interpolated with class frequencies by Witten-Bell weights; emissions are (c + 1) /
 (n + v + 1) with n tokens and v distinct words of the class and one place for unseen words, so all
 probabilities over the vocabulary and the unseen sum to one. The first token follows the end token.
 
-Head words are scored where the text is read. The others go by equi-join to the table of all counts,
-aggregated by document and word first, and their sums come back by document.
+Classes and counts of head words are broadcast. Those of the others come by equi-join on the word to each
+document that holds them. The class of every token is then written, a byte each, counted and scored.
 
 Rows: a null text counts as empty (the end token alone). A null doc_id counts as an empty one for the
 split. Repeated rows each get their row. Without training documents N and V are 0 and scores follow the
@@ -24,15 +26,18 @@ same formulas. Words are compared by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .neardup import _groups
 from .words import Tally, Words, buffers, count_by, slices, words_of
-from .workspace import Workspace, table
+from .workspace import Workspace, shuffle_partitions, table
 
 _U = np.uint64
 END = _U(0x1D5EED5EED5EED01)  #: stands for the end token among the word hashes
@@ -211,7 +216,7 @@ class Model:
     def __init__(self, head: np.ndarray, head_n: np.ndarray, core: np.ndarray, of: np.ndarray, transitions: np.ndarray, n: np.ndarray, v: np.ndarray, total: int, distinct: int, ends: int, p: Brown):
         self.head, self.head_n, self.core, self.of, self.p = head, head_n, core, of, p
         self.total, self.distinct, self.ends = total, distinct, ends
-        self.transition = _smooth(transitions)
+        self.counts, self.transition = transitions, _smooth(transitions)
         self.n, self.v = n, v
 
     def base(self, c: np.ndarray) -> np.ndarray:
@@ -226,54 +231,183 @@ def _smooth(counts: np.ndarray) -> np.ndarray:
     return np.log10((counts + kinds * prior) / (n + kinds))
 
 
-def _documents(model, want: str):
-    """(doc_id, key, text) -> want "rows": sums over the head words and transitions of each row; want
-    "rest": the other words, (key, word, class, n), added up by key in each slice."""
+def _contexts(model):
+    """text -> (word, slot, n) of words outside the core: how often each class stands before (slot below
+    the number of classes) and after the word, added up as far as memory allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        p, size = m.p, len(m.core)
+        k, size = len(m.counts), len(m.core)
+        held: list[tuple] = []
+
+        def merged():
+            word, slot, n = (np.concatenate(x) for x in zip(*held))
+            names, at = np.unique(word, return_inverse=True)
+            key, n = count_by(at.astype(np.int64) * (2 * k) + slot, n)
+            return names[key // (2 * k)], key % (2 * k), n
+
+        def out():
+            word, slot, n = merged()
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(slot.astype(np.int16)), pa.array(n.astype(np.int64))], ["word", "slot", "n"])
+
         for batch in batches:
-            data, offsets = buffers(batch.column(2))
-            key = batch.column(1).to_numpy(zero_copy_only=False)
+            data, offsets = buffers(batch.column(0))
             for i, j in slices(offsets):
                 w = words_of(data, offsets[i : j + 1])
-                at = np.minimum(np.searchsorted(m.head, w.hash), max(0, len(m.head) - 1))
-                known = m.head[at] == w.hash if len(m.head) else np.zeros(len(w.hash), bool)
-                classes = m.of[size + shape_of(w, p)] if want == "rest" else None
-                if want == "rest":
-                    rest = np.flatnonzero(~known)
-                    order = rest[np.lexsort((w.hash[rest], w.row[rest]))]
-                    row, word = w.row[order], w.hash[order]
-                    heads = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (word[1:] != word[:-1])]) if len(order) else order
-                    n = np.diff(np.r_[heads, len(order)])
-                    first = order[heads]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i + w.row[first]]), pa.array(w.hash[first].view(np.int64)), pa.array(classes[first].astype(np.int16)), pa.array(n.astype(np.int32))], ["key", "word", "class", "n"])
-                    continue
-                unit = _units(w, m.core, p)
-                _, row = _sequence(w)
+                at, _ = _sequence(w)
+                unit = _units(w, m.core, m.p)
                 c = m.of[unit]
-                step = m.transition[np.r_[m.of[-1], c[:-1]], c]
+                spot = np.flatnonzero((unit >= size) & (at >= 0))
+                if not len(spot):
+                    continue
+                before = np.r_[m.of[-1], c[:-1]][spot]
+                after = c[spot + 1]  # a word is never last, each text has its end
+                word = w.hash[at[spot]]
+                held.append((np.r_[word, word], np.r_[before, k + after], np.ones(2 * len(spot), np.int64)))
+                if sum(len(x[0]) for x in held) > 2_500_000:
+                    held = [merged()]
+                    if len(held[0][0]) > 1_250_000:
+                        yield out()
+                        held = []
+        if held:
+            yield out()
+
+    return run
+
+
+def best_class(counts: np.ndarray, clusters: int, head: np.ndarray, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each word the cluster that raises the likelihood of the class bigrams counts most. The rows of
+    word i (slot as in _contexts, n) begin at head[i]."""
+    k = len(counts)
+    log = lambda x: x * np.log(np.maximum(x, 1e-300))
+    base = np.concatenate([counts[:, :clusters], counts[:clusters].T]).astype(float)
+    known, row, col = log(base), counts.sum(axis=1)[:clusters], counts.sum(axis=0)[:clusters]
+    tail, out, x = np.r_[head[1:], len(slot)], np.zeros(len(head), np.int64), 0
+    while x < len(head):
+        y = max(x + 1, int(np.searchsorted(tail, head[x] + 50_000, "right")))
+        part = slice(head[x], tail[y - 1])
+        gain = np.add.reduceat(log(base[slot[part]] + n[part, None]) - known[slot[part]], head[x:y] - head[x], axis=0)
+        total = np.add.reduceat(np.where(slot[part] < k, n[part], 0), head[x:y] - head[x])[:, None]
+        gain -= log(row + total) - log(row) + log(col + total) - log(col)
+        out[x:y] = gain.argmax(axis=1)
+        x = y
+    return out
+
+
+def _assign(model):
+    """(word, slot, n) sorted by word and slot -> (word, class)."""
+
+    def run(batches):
+        m: Model = model.value
+        clusters = m.clusters
+        for part in _groups(batches, "word"):
+            word, slot, n = (part.column(c).to_numpy() for c in ("word", "slot", "n"))
+            first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (slot[1:] != slot[:-1])])
+            word, slot, n = word[first], slot[first].astype(np.int64), np.add.reduceat(n, first)
+            head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(word[head]), pa.array(best_class(m.counts, clusters, head, slot, n).astype(np.int16))], ["word", "class"])
+
+    return run
+
+
+def _rare(model):
+    """(key, text) -> (key, word): the words of each text that are not broadcast."""
+
+    def run(batches):
+        head = model.value.head
+        for batch in batches:
+            data, offsets = buffers(batch.column(1))
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, j in slices(offsets):
+                w = words_of(data, offsets[i : j + 1])
+                at = np.minimum(np.searchsorted(head, w.hash), max(0, len(head) - 1))
+                rest = np.flatnonzero(head[at] != w.hash) if len(head) else np.arange(len(w.hash))
+                order = rest[np.lexsort((w.hash[rest], w.row[rest]))]
+                row, word = w.row[order], w.hash[order]
+                if len(order):
+                    one = np.r_[True, (row[1:] != row[:-1]) | (word[1:] != word[:-1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i + row[one]]), pa.array(word[one].view(np.int64))], ["key", "word"])
+
+    return run
+
+
+def _encode(model):
+    """(doc_id, train, text, rare) -> what scoring needs: counts, the base score, the sum of the log10 of
+    the numerators of all emissions, and the class of every token as a byte."""
+
+    def run(batches):
+        m: Model = model.value
+        for batch in batches:
+            data, offsets = buffers(batch.column(2))
+            rare = batch.column(3)
+            for i, j in slices(offsets):
+                w = words_of(data, offsets[i : j + 1])
+                count, c = np.zeros(len(w.hash), np.int64), m.unseen[shape_of(w, m.p)]
+                if len(m.head) and len(w.hash):
+                    at = np.minimum(np.searchsorted(m.head, w.hash), len(m.head) - 1)
+                    hit = m.head[at] == w.hash
+                    count[hit], c[hit] = m.head_n[at[hit]], m.head_of[at[hit]]
+                own = rare.slice(i, j - i).flatten()
+                if len(own) and len(w.hash):
+                    word, of, n = (own.field(f).to_numpy(zero_copy_only=False) for f in range(3))
+                    word, first = np.unique(word.view(np.uint64), return_index=True)  # a word has one class in every text
+                    at = np.minimum(np.searchsorted(word, w.hash), len(word) - 1)
+                    hit = word[at] == w.hash
+                    count[hit], c[hit] = n[first][at[hit]], of[first][at[hit]]
                 rows = j - i
-                score = np.bincount(row, step, rows)
-                place = np.where(known, at, 0)
-                count = m.head_n[place] if len(m.head) else np.zeros(len(at), np.int64)
-                inner = c[unit < size + p.shapes]  # of words, in order
-                emit = np.log10((count + 1) / (m.n[inner] + m.v[inner] + 1))
-                # the end token is the one member of its class, beside the place for unseen words that every class has
-                end = np.log10((m.ends + 1) / (m.n[m.of[-1]] + m.v[m.of[-1]] + 1))
-                score += np.bincount(w.row, np.where(known, emit, 0.0), rows) + end
-                base = np.bincount(w.row, np.where(known, m.base(count), 0.0), rows) + m.base(np.array([m.ends]))[0]
+                where, row = _sequence(w)
+                classes = np.full(len(where), m.clusters, np.uint8)
+                classes[where >= 0] = c
                 tokens = np.diff(w.first) + 1
-                seen = np.bincount(w.row, known, rows).astype(np.int64) + (m.ends > 0)
+                cuts = np.r_[0, np.cumsum(tokens)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, rows), batch.column(1).slice(i, rows), pa.array(tokens), pa.array(seen), pa.array(base), pa.array(score)],
-                    ["doc_id", "key", "n_tokens", "n_known", "base_score", "score"],
+                    [
+                        batch.column(0).slice(i, rows), batch.column(1).slice(i, rows), pa.array(tokens),
+                        pa.array(np.bincount(w.row, count > 0, rows).astype(np.int64) + (m.ends > 0)),
+                        pa.array(np.bincount(w.row, m.base(count), rows) + m.base(np.array([m.ends]))[0]),
+                        pa.array(np.bincount(w.row, np.log10(count + 1), rows) + np.log10(m.ends + 1)),
+                        pa.array([classes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+                    ],
+                    ["doc_id", "train", "n_tokens", "n_known", "base_score", "emit", "classes"],
                 )
 
     return run
 
 
+def _class_bigrams(k: int):
+    def run(batches):
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            c = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).astype(np.int64)
+            if len(c):
+                total += np.bincount(np.r_[k - 1, c[:-1]] * k + c, minlength=k * k)
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], ["pair", "n"])
+
+    return run
+
+
+def _score(model):
+    def run(batches):
+        m: Model = model.value
+        size = np.log10(m.n + m.v + 1)
+        for batch in batches:
+            raw = batch.column("classes").to_pylist()
+            c = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+            if not len(c):
+                continue
+            row = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+            step = m.transition[np.r_[m.clusters, c[:-1]], c] - size[c]
+            score = batch.column("emit").to_numpy() + np.bincount(row, step, len(raw))
+            held = pc.invert(batch.column("train"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), held, batch.column("n_tokens"), batch.column("n_known"), pa.array(np.full(len(raw), m.total, np.int64)), batch.column("base_score"), pa.array(score)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    return run
+
+
 def train(spark: SparkSession, texts: DataFrame, p: Brown, ws: Workspace) -> tuple[Model, DataFrame]:
     """The model, and the written table of all counts (word, shape, n). texts: (text)."""
     vocabulary = ws.save(texts.mapInArrow(_vocabulary(p), "word long, shape short, n long").groupBy("word", "shape").agg(F.sum("n").alias("n")), "vocabulary")
@@ -316,31 +450,58 @@ def train(spark: SparkSession, texts: DataFrame, p: Brown, ws: Workspace) -> tup
     return Model(word, n, core, of, transitions, by[0], by[1], int(total), int(distinct), int(ends), p), vocabulary
 
 
+def assign(spark: SparkSession, texts: DataFrame, model: Model, vocabulary: DataFrame, p: Brown, ws: Workspace) -> tuple[Model, DataFrame]:
+    """The model in which every word of the training texts has a cluster, and the written table (word,
+    shape, n, class) of the words outside the core. Class bigrams are still to be counted."""
+    m = copy(model)
+    m.clusters = max(1, min(p.classes, len(m.core)))
+    if not len(m.core):  # nothing was clustered: one class for all words
+        m.counts = np.ones((1 + len(m.counts), 1 + len(m.counts)))
+        m.of = m.of + 1
+    held = spark.sparkContext.broadcast(m)
+    contexts = texts.mapInArrow(_contexts(held), "word long, slot short, n long").repartition(shuffle_partitions(spark), "word").sortWithinPartitions("word", "slot")
+    found = contexts.mapInArrow(_assign(held), "word long, class short")
+    words = ws.save(vocabulary.where("shape >= 0").join(found, "word"), "classes")
+    m.n, m.v = np.zeros(m.clusters + 1, np.int64), np.zeros(m.clusters + 1, np.int64)
+    kinds = np.zeros((p.shapes, m.clusters), np.int64)
+    for r in words.groupBy("shape", "class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # at most shapes times classes rows
+        m.n[r["class"]] += r.n
+        m.v[r["class"]] += r.v
+        kinds[r["shape"], r["class"]] = r.v
+    m.unseen = np.where(kinds.any(axis=1), kinds.argmax(axis=1), kinds.sum(axis=0).argmax())
+    head = words.where(F.col("n") >= F.lit(max(1.0, p.head * m.total))).select("word", "class").toArrow()  # at most 1 / p.head rows
+    m.head_of = np.zeros(len(m.head), np.int64)
+    m.head_of[np.searchsorted(m.head, head.column(0).to_numpy().view(np.uint64))] = head.column(1).to_numpy()
+    at = np.searchsorted(m.head, m.core)
+    m.head_of[at] = m.of[: len(m.core)]
+    np.add.at(m.n, m.of[: len(m.core)], m.head_n[at])
+    np.add.at(m.v, m.of[: len(m.core)], 1)
+    m.n[-1], m.v[-1] = m.ends, 1
+    return m, words
+
+
 def score(spark: SparkSession, docs: DataFrame, params: Brown = Brown(), ws: Workspace | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text)."""
     ws = ws or Workspace(spark, "brown")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    model, vocabulary = train(spark, docs.where(training(F.col("doc_id"))).select("text"), params, ws)
-    held = spark.sparkContext.broadcast(model)
-    rows = docs.mapInArrow(_documents(held, "rows"), "doc_id long, key long, n_tokens long, n_known long, base_score double, score double")
-    rest = docs.mapInArrow(_documents(held, "rest"), "key long, word long, class short, n int")
-    size = F.array(*[F.lit(float(a + b + 1)) for a, b in zip(model.n.tolist(), model.v.tolist())])
-    tail = vocabulary.where(F.col("n") < F.lit(max(1.0, params.head * model.total))).select("word", F.col("n").alias("c"))
-    c = F.coalesce("c", F.lit(0))
-    known = rest.join(tail, "word", "left").select(
-        "key",
-        (F.when(c > 0, F.col("n")).otherwise(0)).cast("long").alias("n_known"),
-        (F.col("n") * F.log10((c + 1) / F.lit(float(model.total + model.distinct + 1)))).alias("base_score"),
-        (F.col("n") * F.log10((c + 1) / F.element_at(size, F.col("class") + 1))).alias("score"),
-    )
-    sums = ["n_known", "base_score", "score"]
-    zero = F.lit(None).cast("long")
-    both = rows.select("key", "doc_id", "n_tokens", *sums, F.lit(1).alias("row")).union(known.select("key", zero, zero, *sums, F.lit(0)))
-    by = both.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *[F.sum(s).alias(s) for s in sums], F.sum("row").alias("copies"))
-    one = by.select("doc_id", "n_tokens", *[(F.col(s) / F.col("copies")).alias(s) for s in sums], F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("i"))
-    return one.select(
-        "doc_id", (~training(F.col("doc_id"))).alias("held_out"), "n_tokens", F.round("n_known").cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+    texts = docs.where(training(F.col("doc_id"))).select("text")
+    model, vocabulary = train(spark, texts, params, ws)
+    m, words = assign(spark, texts, model, vocabulary, params, ws)
+    held = spark.sparkContext.broadcast(m)
+    tail = words.where(F.col("n") < F.lit(max(1.0, params.head * m.total))).select("word", F.col("class").cast("long").alias("class"), "n")
+    rare = docs.select("key", "text").mapInArrow(_rare(held), "key long, word long").join(tail, "word").groupBy("key").agg(F.collect_list(F.struct("word", "class", "n")).alias("rare"))
+    empty = F.from_json(F.lit("[]"), "array<struct<word:long,class:long,n:long>>")
+    full = docs.join(rare, "key", "left").select("doc_id", training(F.col("doc_id")).alias("train"), "text", F.coalesce("rare", empty).alias("rare"))
+    encoded = ws.save(full.mapInArrow(_encode(held), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, emit double, classes binary"), "encoded")
+    k = m.clusters + 1
+    counts = np.zeros(k * k)
+    for r in encoded.where("train").select("classes").mapInArrow(_class_bigrams(k), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most classes squared rows
+        counts[r.pair] = r.n
+    m = copy(m)
+    m.counts = counts.reshape(k, k)
+    m.transition = _smooth(m.counts)
+    final = spark.sparkContext.broadcast(m)
+    return encoded.mapInArrow(_score(final), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

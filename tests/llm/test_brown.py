@@ -114,3 +114,43 @@ def test_sequence_and_empty_tables(spark):
     only = next(i for i in range(99) if held(i))
     x = score(spark, spark.createDataFrame([(only, "a b")], schema)).first()
     assert (x.n_tokens, x.n_known, x.train_tokens, x.base_score) == (3, 0, 0, 0.0)
+
+
+def test_every_training_word_has_the_cluster_of_its_contexts(spark):
+    """Rare words of one shape that differ in their neighbours; scores by hand from the classes."""
+    from sparkloom.llm.brown import assign, train
+    from sparkloom.llm.words import hash_word
+    from sparkloom.llm.workspace import Workspace
+
+    p = Brown(head=0.004, core=0.05, classes=6)
+    rows = [(i, " ".join(x for j in range(10) for x in (["le", f"f{i}n{j}x" if j % 2 else "un", "la"] if i % 2 else ["to", f"e{i}n{j}x" if j % 2 else "an", "of"]))) for i in range(60)] + [(99, "new-x le la")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = spark.createDataFrame([(t,) for i, t in rows if not held(i)], "text string")
+    ws = Workspace(spark, "t")
+    model, vocabulary = train(spark, texts, p, ws)
+    m, table = assign(spark, texts, model, vocabulary, p, ws)
+    seen = {t for i, text in rows if not held(i) for t in tokens(text)}
+    of = {r.word: r["class"] for r in table.collect()} | {int(h.view(np.int64)): int(c) for h, c in zip(m.core, m.of)}
+    of = {w: of[int(np.uint64(hash_word(w)).view(np.int64))] for w in seen}
+    assert len(of) == len(seen) == m.v[:-1].sum()
+    assert len({of[w] for w in seen if w[0] == "f"} & {of[w] for w in seen if w[0] == "e"}) == 0
+
+    count = Counter(t for i, text in rows if not held(i) for t in [*tokens(text), None])
+    of[None] = end = m.clusters
+    unseen = lambda w: int(m.unseen[shape_of(words_of(*buffers(pa.array([w]))), p)[0]])
+    path = {i: [end] + [of[w] if w in of else unseen(w) for w in [*tokens(t), None]] for i, t in rows}
+    pairs = Counter(x for i, c in path.items() if not held(i) for x in zip(c, c[1:]))
+    k, total = end + 1, sum(pairs.values())
+    n, kinds, prior = Counter(), Counter(), Counter()
+    for (a, b), x in pairs.items():
+        n[a], kinds[a], prior[b] = n[a] + x, kinds[a] + 1, prior[b] + x
+    size = Counter()
+    for w, x in count.items():
+        size[of[w]] += x + 1
+
+    def step(a, b):
+        return (pairs[a, b] + max(kinds[a], 1) * (prior[b] + 1) / (total + k)) / (n[a] + max(kinds[a], 1))
+
+    want = {i: sum(math.log10(step(a, b)) for a, b in zip(path[i], path[i][1:])) + sum(math.log10((count[w] + 1) / (size[of[w] if w in of else unseen(w)] + 1)) for w in [*tokens(t), None]) for i, t in rows}
+    got = {r.doc_id: r.score for r in score(spark, df, p).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
