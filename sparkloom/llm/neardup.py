@@ -304,7 +304,7 @@ def link_sets(sets: list[np.ndarray], s8: np.ndarray, p: NearDup, left: np.ndarr
     if start is not None:
         first = {}
         union.label = np.array([first.setdefault(x, i) for i, x in enumerate(start)])
-    need, t, slack = int(np.ceil(p.near * s8.shape[1])), p.threshold, 1 - p.threshold + 1e-9
+    t, slack = p.threshold, 1 - p.threshold + 1e-9
     found = []
     rows = np.arange(n) if left is None else left
     done = np.zeros(n, bool)
@@ -316,7 +316,6 @@ def link_sets(sets: list[np.ndarray], s8: np.ndarray, p: NearDup, left: np.ndarr
         other = np.flatnonzero(maybe)
         if not len(other):
             continue
-        other = other[(s8[other] == s8[i]).sum(axis=1, dtype=np.int32) >= need]
         own = sets[i]
         for part in np.array_split(other, max(1, int(size[other].sum() / 500_000))):
             part = part[union.label[part] != union.label[i]]

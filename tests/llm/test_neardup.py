@@ -74,3 +74,13 @@ def test_very_long_text(spark):
     rows = [(1, long), (2, long + " tail"), (3, "x" * 3_000_000)]
     got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.component_id, r.n_shingles) for r in got} == {(1, 1, 299_996), (2, 1, 299_997), (3, 3, 1)}
+
+
+def test_no_link_inside_a_family_hangs_on_the_sketch():
+    import numpy as np
+
+    from sparkloom.llm.neardup import link_sets
+
+    a = np.arange(100, dtype=np.uint64)
+    apart = np.stack([np.zeros(128, np.uint8), np.ones(128, np.uint8)])  # sketches that agree nowhere
+    assert link_sets([a, a[:86]], apart, SMALL) == [(0, 1)] and link_sets([a, a[:84]], apart, SMALL) == []
