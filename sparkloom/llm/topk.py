@@ -2,11 +2,12 @@
 
 Every component x becomes the integer floor(scale * x). Rows are dealt into blocks of bounded size; a
 block holds, for each dimension, its rows in the order of that component. For a query the lists are
-read from the end that its component favours, a depth at a time; rows that appear are scored in full,
-and reading stops when the bound (the score of a row that had every component at the present depth)
-is below the k-th score. Where reading has cost as much as the block has rows, the rows not yet seen
-are scored outright, so that no query costs more than about two scans. Queries are a stated set and
-are dealt into blocks too; each pair of blocks is one task.
+read from the end that its component favours, and rows that appear are scored in full. Lists are read
+unevenly: each step goes down those whose next entries lower the bound most. The bound is the greatest
+score of a row that stands, in every list, behind what was read, and is no longer than the block's
+longest row; it is found exactly by filling components up to their places in the lists. Reading stops
+when the bound can't beat the k-th score, or when no row is left unseen. Nothing else ends it. Queries
+are a stated set and are dealt into blocks too; each pair of blocks is one task.
 
 Rows: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
 with a null vec_id. Rows of one vec_id count once, as the least vector. Vectors of another length than
@@ -38,37 +39,65 @@ class Lists:
         self.ids, self.rows = ids, rows
         self.order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(rows, self.order, axis=0)
+        self.longest = float((rows.astype(np.float64) ** 2).sum(axis=1).max(initial=0.0))  #: squared
 
-    def best(self, query_id: int, query: np.ndarray, k: int, first: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows but those with the query's id."""
+    def best(self, query_id: int, query: np.ndarray, k: int, step: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best rows but those with the query's id. Sets read, the entries read of
+        all lists, and stopped, whether the bound ended it."""
         n, dims = self.rows.shape
-        up = query >= 0
-        axis = np.arange(dims)
+        step, width = step or max(8, n // 32), max(1, dims // 4)
+        up, weight, axis = query >= 0, np.abs(query).astype(np.float64), np.arange(dims)
+        depth = np.zeros(dims, np.int64)
         seen = np.zeros(n, bool)
         seen[np.searchsorted(self.ids, query_id) : np.searchsorted(self.ids, query_id, "right")] = True
         top_ids, top = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        depth, reach, read = 0, first, 0
-        while True:
-            reach = min(reach, n)
-            if read < n and reach < n:
-                new = np.zeros(n, bool)
-                new[self.order[n - reach : n - depth][:, up].ravel()] = True
-                new[self.order[depth:reach][:, ~up].ravel()] = True
-                new &= ~seen
-                read += dims * (reach - depth)
-            else:
-                new, reach = ~seen, n
-            at = np.flatnonzero(new)
+        self.read, self.stopped = 0, False
+        edge = self._edge(depth, up, axis)
+        while not seen.all():
+            if len(top) == k and top[-1] > bound(weight, edge, self.longest):
+                self.stopped = True
+                break
+            gain = weight * (edge - self._edge(np.minimum(depth + step, n - 1), up, axis))
+            lists = np.argsort(-gain, kind="stable")[:width]
+            place = np.minimum(depth[lists][:, None] + np.arange(step), n - 1)
+            found = self.order[np.where(up[lists][:, None], n - 1 - place, place), lists[:, None]]
+            new = np.zeros(n, bool)
+            new[found.ravel()] = True
+            at = np.flatnonzero(new & ~seen)
             seen[at] = True
             top_ids, top = _keep(np.r_[top_ids, self.ids[at]], np.r_[top, self.rows[at] @ query], k)
-            if reach == n:
-                break
-            bound = int((np.where(up, self.sorted[n - reach, axis], self.sorted[reach - 1, axis]) * query).sum())
-            if len(top) == k and top[-1] > bound:
-                break
-            depth, reach = reach, reach * 4
+            after = np.minimum(depth[lists] + step, n - 1)
+            self.read += int((after - depth[lists]).sum())
+            depth[lists] = after
+            edge = self._edge(depth, up, axis)
         return top_ids, top
 
+    def _edge(self, depth: np.ndarray, up: np.ndarray, axis: np.ndarray) -> np.ndarray:
+        """Of each list the next entry's component, in the direction that the query favours."""
+        n = len(self.rows)
+        value = self.sorted[np.where(up, n - 1 - depth, depth), axis].astype(np.float64)
+        return np.where(up, value, -value)
+
+
+def bound(weight: np.ndarray, edge: np.ndarray, longest: float) -> float:
+    """At least the greatest weight . x over all x <= edge with |x|^2 <= longest (weight >= 0): components
+    grow in proportion to their weights until each meets its edge, or the length is used up."""
+    low = edge <= 0
+    sure = float((weight[low] * edge[low]).sum())
+    left = longest - float((edge[low & (weight > 0)] ** 2).sum())
+    w, e = weight[~low & (weight > 0)], edge[~low & (weight > 0)]
+    order = np.argsort(e / w, kind="stable")
+    w, e = w[order], e[order]
+    rest = np.cumsum((w * w)[::-1])[::-1]  # squares of weights from each place on
+    used = np.cumsum(e * e)
+    over = np.flatnonzero(used - e * e + (e / w) ** 2 * rest > left)
+    if not len(over):
+        best = float((w * e).sum())
+    else:
+        i = int(over[0])
+        best = float((w[:i] * e[:i]).sum()) + float(np.sqrt(max(0.0, left - (used[i] - e[i] ** 2)) * rest[i]))
+    return sure + best + 1.0 + 1e-9 * (abs(sure) + abs(best))
+
 
 def _keep(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((ids, -scores))[:k]
@@ -115,14 +144,18 @@ def _block_topk(k: int, scale: int):
     return run
 
 
-def exact_topk(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, block: int = 8192, query_block: int = 8192) -> DataFrame:
+def exact_topk(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, block: int | None = None, query_block: int | None = None, block_bytes: int = 32 << 20) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of vectors (vec_id, embedding) that is_query marks.
 
-    block, query_block: rows of a block of candidates and of queries; they bound a task's memory."""
+    block, query_block: rows of a block of candidates and of queries; they bound a task's memory. By
+    default both hold block_bytes of components, candidates fewer where that would leave cores idle.
+    Candidates are read once for each block of queries, so both are as large as memory allows."""
     valid = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("q")).where(F.col("vec_id").isNotNull() & valid)
-    n, asked = rows.agg(F.count("*"), F.count_if("q")).first()
-    nb, nq = max(1, -(-n // block)), max(1, -(-asked // query_block))
+    n, asked, dims = rows.agg(F.count("*"), F.count_if("q"), F.max(F.size("embedding"))).first()
+    most = max(256, block_bytes // (8 * (dims or 1)))
+    block = block or min(most, max(1024, -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    nb, nq = max(1, -(-n // block)), max(1, -(-asked // (query_block or most)))
     of = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     held = rows.select(of(nb).alias("b"), every(nq).alias("a"), F.lit(0).alias("is_query"), "vec_id", F.col("embedding").alias("v"))

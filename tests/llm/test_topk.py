@@ -42,3 +42,30 @@ def test_equals_brute_force(spark, case):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert exact_topk(spark, df, F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_the_bound_stops_and_is_never_too_low():
+    import numpy as np
+
+    from sparkloom.llm.topk import Lists, bound
+
+    rng = np.random.default_rng(1)
+    rows = (1024 * rng.random((3000, 6)) ** 9).astype(np.int64)
+    lists = Lists(np.arange(3000), rows)
+    stopped = 0
+    for q in range(0, 3000, 100):
+        ids, scores = lists.best(q, rows[q], 10, 16)
+        every = rows @ rows[q]
+        order = sorted((-every[i], i) for i in range(3000) if i != q)[:10]
+        assert [(int(i), int(s)) for i, s in zip(ids, scores)] == [(i, -s) for s, i in order]
+        stopped += lists.stopped
+    assert stopped > 20
+    for _ in range(300):
+        w, e = np.abs(rng.normal(size=5)) * (rng.random(5) < 0.8), rng.normal(size=5)
+        x = np.minimum(rng.normal(size=(4000, 5)) * 0.7, e)
+        inside = x[(x * x).sum(axis=1) <= 1.5]
+        assert (inside @ w <= bound(w, e, 1.5)).all()
+        if len(inside) and (e > 0).all() and (w > 0).all():  # and it is reached but for the margin
+            t = np.linspace(0, 60, 30001)[:, None]
+            fill = np.minimum(t * w, e)
+            assert abs((fill[(fill * fill).sum(axis=1) <= 1.5] @ w).max() + 1 - bound(w, e, 1.5)) < 1e-2
