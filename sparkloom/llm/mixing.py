@@ -8,33 +8,57 @@ documents are ranked by their random odds u / (1 - u) divided by their inclusion
 that order while their sizes fit; three more turns over those that still fit close the gap that a long
 document leaves. u is a hash of doc_id, so reruns agree.
 
+The inclusion odds are the source's rate, times a document's importance where a column of it is named.
+u is a hash of doc_id, text and, for rows that repeat both, of their number, so every row is drawn by
+itself, null and repeated doc_ids included, and reruns agree.
+
 No source is brought into one task: a rank is found from sums over buckets of the ranking value, and
-only the bucket in which the target is reached is sorted.
+only the bucket in which the target is reached is sorted. Repeated rows are numbered within each task
+that reads them; only those found by several tasks get an offset, from a table of such repeats alone.
 
 Rows: a null text has size 0, and documents of size 0 are taken 0 times. A null source is a source of
-its own, the last. Rows of one doc_id share a random number. An empty table gives an empty result.
+its own, the last. An empty table gives an empty result. Names of columns may be any: rows stay apart
+from what is computed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .words import SLICE, buffers, count_words, slices
 from .workspace import Workspace, table
 
-WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
 TURNS = 4
 
 
-def size_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+def random_of(*key: Column) -> Column:
+    """A number strictly between 0 and 1 from 52 bits of a digest of the key's parts."""
+    said = F.concat_ws(":", *[F.coalesce(k.cast("string"), F.lit("")) for k in key])
+    bits = F.conv(F.substring(F.md5(said.cast("binary")), 1, 13), 16, 10).cast("double")
+    return (bits + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def random_of(doc_id: Column) -> Column:
-    """A number strictly between 0 and 1 from 52 bits of a digest."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double")
-    return (bits + F.lit(0.5)) / F.lit(float(2**52))
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, source, doc_id, h, ...) -> the same without the text, with size, the number of words,
+    and nth, the number of the row among the task's rows of one source, doc_id and h."""
+    seen: dict[tuple, int] = {}
+    for batch in batches:
+        data, offsets = buffers(batch.column(0))
+        size = [count_words(data, offsets[i : j + 1]) for i, j in slices(offsets, 4 * SLICE)]
+        nth = np.zeros(batch.num_rows, np.int64)
+        for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+            key = hash(key)  # of texts' digests; rows that collide are numbered apart, no more
+            nth[i] = seen.get(key, 0)
+            seen[key] = int(nth[i]) + 1
+        names = batch.schema.names[1:]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(np.concatenate(size) if size else [], pa.int64()), pa.array(nth)], [*names, "size", "nth"])
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -58,12 +82,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     return by.select("source", "source_size", "target", "whole", "gap", rate.alias("rate"))
 
 
-def _ranked(rows: DataFrame, importance: str | None) -> DataFrame:
+def _ranked(rows: DataFrame) -> DataFrame:
     """v: the ranking value q / (1 + q) of q = random odds / inclusion odds, between 0 and 1."""
-    chance = F.col("rate") * (F.col(importance) if importance else F.lit(1.0))
+    chance = F.col("rate") * F.col("importance") if "importance" in rows.columns else F.col("rate")
     chance = F.greatest(F.least(chance, F.lit(1 - 1e-9)), F.lit(1e-12))
-    u = random_of(F.col("doc_id"))
-    q = (u / (1 - u)) / (chance / (1 - chance))
+    q = (F.col("u") / (1 - F.col("u"))) / (chance / (1 - chance))
     return rows.withColumn("v", q / (1 + q))
 
 
@@ -72,55 +95,70 @@ def _join(rows: DataFrame, by: DataFrame) -> DataFrame:
     return rows.join(by, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
 
 
-def _place() -> Column:
-    return F.struct("v", "doc_id", "size")
+_PLACE = ("v", "doc_id", "size", "h", "nth")
 
 
 def _taken(turns: int) -> Column:
     """Whether one of the first turns took the row: it fitted into that turn's gap and stood before its cut."""
     out = F.lit(False)
     for k in range(turns):
-        out = out | F.coalesce((F.col("size") > 0) & (F.col("size") <= F.col(f"gap{k}")) & (_place() <= F.col(f"cut{k}")), F.lit(False))
+        out = out | F.coalesce((F.col("size") > 0) & (F.col("size") <= F.col(f"gap{k}")) & (F.struct(*_PLACE) <= F.col(f"cut{k}")), F.lit(False))
     return out
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, importance: str | None = None, ws: Workspace | None = None) -> DataFrame:
-    """docs (doc_id, text, source and whatever else) with size, source_size, target, copies and taken
-    (copies x size). importance names a column that multiplies a document's inclusion chance."""
+def _measured(ws: Workspace, docs: DataFrame, importance: str | None, whole: bool) -> DataFrame:
+    """The written table of all rows (row: the document where whole, doc_id, source, size, h, nth, u, importance)."""
+    extra = [F.col(importance).cast("double").alias("importance")] if importance else []
+    rows = docs.select(
+        F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("h"), F.spark_partition_id().alias("part"), *extra, *([F.struct(*docs.columns).alias("row")] if whole else []),
+    )
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("size", T.LongType()), T.StructField("nth", T.LongType())])
+    rows = ws.save(rows.mapInArrow(_measure, schema), "sizes")
+    # rows of one key that several tasks read: those of later tasks are numbered on from the earlier ones
+    counts = rows.groupBy("source", "doc_id", "h", "part").agg(F.count(F.lit(1)).alias("m"))
+    shared = counts.groupBy("source", "doc_id", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
+    before = F.sum("m").over(Window.partitionBy("a.source", "a.doc_id", "a.h").orderBy("part"))  # a row for each task
+    repeats = counts.alias("a").join(shared.alias("b"), same("a", "b")).select("a.source", "a.doc_id", "a.h", "part", (before - F.col("m")).alias("offset"))
+    repeats = ws.save(repeats.coalesce(8), "repeats")
+    if not repeats.isEmpty():
+        rows = rows.alias("a").join(repeats.alias("b"), same("a", "b") & (F.col("a.part") == F.col("b.part")), "left").select("a.*", "offset").withColumn("nth", F.col("nth") + F.coalesce("offset", F.lit(0))).drop("offset")
+    return rows.withColumn("u", random_of(F.col("doc_id"), F.col("h"), F.col("nth"))).drop("part")
+
+
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, importance: str | None = None, ws: Workspace | None = None, whole: bool = True) -> DataFrame:
+    """docs (doc_id, text, source and whatever else) as row, with doc_id, size, source_size, target, copies
+    and taken (copies x size). importance names a column that multiplies a document's inclusion chance;
+    whole=False leaves row out."""
     ws = ws or Workspace(spark, "mixing")
-    id_, source = F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")
-    rows = ws.save(docs.select(id_, source, size_of(F.col("text")).alias("size"), *([F.col(importance).cast("double").alias("importance")] if importance else [])), "sizes")
-    weight = "importance" if importance else None
+    rows = _measured(ws, docs, importance, whole)
     by = ws.save(targets(rows, weights, share, most).withColumn("gap0", F.col("gap")).coalesce(1), "targets")
     for k in range(TURNS):
-        left = _ranked(_join(rows, by), weight).where(~_taken(k) & (F.col("size") > 0) & (F.col("size") <= F.col(f"gap{k}")))
-        left = left.select("source", "doc_id", "size", "v", F.col(f"gap{k}").alias("gap"), F.floor(F.col("v") * BUCKETS).alias("b"))
+        left = _ranked(_join(rows.drop("row"), by)).where(~_taken(k) & (F.col("size") > 0) & (F.col("size") <= F.col(f"gap{k}")))
+        left = left.select("source", *_PLACE, F.col(f"gap{k}").alias("gap"), F.floor(F.col("v") * BUCKETS).alias("b"))
         sums = left.groupBy("source", "b").agg(F.sum("size").alias("n"), F.min("gap").alias("gap"))
         upto = Window.partitionBy("source").orderBy("b")  # at most BUCKETS rows a source
         sums = sums.withColumn("before", F.sum("n").over(upto) - F.col("n"))
         edge = sums.where((F.col("before") <= F.col("gap")) & (F.col("before") + F.col("n") > F.col("gap"))).select(F.col("source").alias("s"), F.col("b").alias("eb"), "before")
         inside = left.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("eb")))
-        running = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("v", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-        sorted_ = inside.withColumn("upto", running).where(F.col("upto") <= F.col("gap")).groupBy("source").agg(F.max(_place()).alias("cut"), F.max("upto").alias("upto"))
-        whole = sums.where(F.col("before") + F.col("n") <= F.col("gap")).groupBy("source").agg(F.max("b").alias("last"), F.max(F.col("before") + F.col("n")).alias("words"))
-        both = whole.join(sorted_.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "full")
-        high = F.struct(((F.col("last") + 1) / F.lit(float(BUCKETS))).alias("v"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("size"))
+        running = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, 0))
+        sorted_ = inside.withColumn("upto", running).where(F.col("upto") <= F.col("gap")).groupBy("source").agg(F.max(F.struct(*_PLACE)).alias("cut"), F.max("upto").alias("upto"))
+        full = sums.where(F.col("before") + F.col("n") <= F.col("gap")).groupBy("source").agg(F.max("b").alias("last"), F.max(F.col("before") + F.col("n")).alias("words"))
+        both = full.join(sorted_.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "full")
+        high = F.struct(((F.col("last") + 1) / F.lit(float(BUCKETS))).alias("v"), *[F.lit(None).cast(t).alias(c) for c, t in zip(_PLACE[1:], ("long", "long", "string", "long"))])
         found = both.select(F.when(F.col("words").isNotNull(), F.col("source")).otherwise(F.col("s2")).alias("source"), F.coalesce("cut", F.when(F.col("last").isNotNull(), high)).alias(f"cut{k}"), F.coalesce("upto", "words").alias("used"))
         by = _join(by, found).withColumn(f"gap{k + 1}", F.col(f"gap{k}") - F.coalesce("used", F.lit(0))).drop("used")
         by = ws.save(by.coalesce(1), f"targets{k}")
     by = by.drop("gap", f"gap{TURNS}")
-    if importance:
-        docs = docs.withColumn("__importance", F.col(importance).cast("double"))
-    names = [c for c in docs.columns if c != "__importance"]
-    plain = docs.select(F.struct(*names).alias("row"), id_, source, size_of(F.col("text")).alias("size"), *(["__importance"] if importance else [])) if set(names) - {"doc_id", "source"} else rows
-    out = _ranked(_join(plain, by), "__importance" if importance else None)
     copies = F.coalesce(F.col("whole") + _taken(TURNS).cast("long"), F.lit(0))
-    return out.select("row", "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    out = _ranked(_join(rows, by)).withColumn("copies", copies)
+    return out.select(*(["row"] if whole else []), "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spark, docs, whole=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def _sql_turn(k: int) -> str:
@@ -129,7 +167,7 @@ def _sql_turn(k: int) -> str:
     return f"""
 c{k} AS (
   SELECT r.n, r.source, r.size, g.gap,
-         sum(r.size) OVER (PARTITION BY r.source ORDER BY r.v, r.doc_id NULLS FIRST, r.size, r.n ROWS UNBOUNDED PRECEDING) AS upto
+         sum(r.size) OVER (PARTITION BY r.source ORDER BY r.v, r.doc_id NULLS FIRST, r.size, r.h, r.nth ROWS UNBOUNDED PRECEDING) AS upto
   FROM r JOIN g{k} g ON g.source IS NOT DISTINCT FROM r.source
   WHERE r.size > 0 AND r.size <= g.gap{before}
 ), t{k} AS (SELECT n, source, size FROM c{k} WHERE upto <= gap
@@ -141,7 +179,7 @@ c{k} AS (
 
 OP7_SQL = rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS n, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT row_number() OVER () AS n, doc_id, source, md5(coalesce(text, '')) AS h, row_number() OVER (PARTITION BY source, doc_id, text) - 1 AS nth, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source
 ), l AS (
@@ -157,10 +195,10 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
 ), g0 AS (SELECT source, target - whole * source_size AS gap FROM b
 ), r AS (
-  SELECT n, doc_id, source, size, source_size, target, whole, q / (1 + q) AS v FROM (
+  SELECT n, doc_id, source, size, h, nth, source_size, target, whole, q / (1 + q) AS v FROM (
     SELECT *, (u / (1 - u)) / (chance / (1 - chance)) AS q FROM (
-      SELECT d.n, d.doc_id, d.source, d.size, b.source_size, b.target, b.whole,
-             (CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u,
+      SELECT d.n, d.doc_id, d.source, d.size, d.h, d.nth, b.source_size, b.target, b.whole,
+             (CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || d.h || ':' || CAST(d.nth AS VARCHAR)), 1, 13) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u,
              greatest(least(CASE WHEN b.source_size > 0 THEN (b.target - b.whole * b.source_size) / b.source_size ELSE 0 END, 1::DOUBLE - 1e-9::DOUBLE), 1e-12::DOUBLE) AS chance
       FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source))
 ), {",".join(_sql_turn(k) for k in range(TURNS))}

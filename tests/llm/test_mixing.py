@@ -62,3 +62,21 @@ def test_empty_tables_and_empty_texts(spark):
     assert mix(spark, spark.createDataFrame([], schema)).count() == 0
     got = mix(spark, spark.createDataFrame([(1, None, None), (2, "", "a"), (3, " ", "a")], schema)).collect()
     assert [(x.size, x.target, x.taken) for x in got] == [(0, 0.0, 0)] * 3
+
+
+def test_equal_rows_and_null_ids_are_drawn_one_by_one(spark):
+    rows = [(None, f"a b {i}", "n") for i in range(1000)] + [(5, "a b c", "r")] * 1000 + [(i, "a b c", "u") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mix(spark, df, weights=(1,), share=0.5).collect()
+    taken = {s: sum(x.taken for x in got if x.row.source == s) for s in "nru"}
+    assert taken == {"n": 1500, "r": 1500, "u": 1500}
+    key = lambda g: sorted((str(x.row), x.taken) for x in g)
+    assert key(got) == key(mix(spark, df.coalesce(1), weights=(1,), share=0.5).collect())
+
+
+def test_long_texts_and_clashing_names(spark):
+    rows = [(i, "w " * (200_000 if i == 3 else 5), "s", i, i, "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, part int, row string")
+    got = mix(spark, df).collect()
+    assert {x.row.doc_id: x.size for x in got} == {i: 200_000 if i == 3 else 5 for i in range(40)}
+    assert all(x.row["size"] == x.row["part"] == x.row.doc_id and x.row["row"] == "x" for x in got)
