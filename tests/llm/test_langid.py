@@ -62,3 +62,39 @@ def test_nothing_to_learn_from_and_rejection(spark):
     model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     odd = spark.createDataFrame([(1, "漢字 " * 100, "x"), (2, rows[0][1], "x"), (3, None, "x"), (4, "the", "x")], "doc_id long, text string, note string")
     assert sorted(accepted(odd, model).collect()) == [(2, rows[0][1], "x"), (4, "the", "x")]
+
+
+def test_tables_and_memory_learn_the_same(spark):
+    rows = corpus(200, 4)
+    learned = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    a, b = train(df), fit([t for _, t, _ in learned], [lang for _, _, lang in learned], LangId())
+    assert a.languages == b.languages and (a.grams == b.grams).all() and np.allclose(a.idf, b.idf)
+    probe = pa.array([t for _, t, _ in rows])
+    assert np.mean(a.predict(probe)[0] == b.predict(probe)[0]) > 0.99
+
+
+def test_every_language_is_learned_and_repeats_count_once(spark):
+    rare = [(None, "eau elle que ré " * 3, "fr"), (7000, "при вет ость на " * 3, "ru")]
+    hot = [(1, "the tion and wh " * 3, "en")] * 3000
+    many = [(8000 + i, chr(0x4E00 + 7 * i) * 9, f"x{i}") for i in range(230) if zlib.crc32(str(8000 + i).encode()) % 4 != 2]
+    df = spark.createDataFrame(rare + hot + many, "doc_id long, text string, lang string")
+    model = train(df, LangId(per_language=20))
+    assert set(model.languages) == {"en", "fr", "ru", *(x[2] for x in many)}
+    seen = {(x.doc_id, x.lang_pred) for x in identify(df, model).collect()}
+    assert seen == {(i, lang) for i, _, lang in rare + hot + many}
+
+
+def test_too_many_labels_are_refused(spark):
+    import pytest
+
+    df = spark.createDataFrame([(i, "a b c", f"l{i}") for i in range(60)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        train(df, LangId(most_labels=5))
+
+
+def test_ties_and_very_long_texts(spark):
+    rows = [(i, t, lang) for i in range(40) for t, lang in ([("the and", "b"), ("the and", "a")])] + [(500, "eau que " * 100_000, "fr"), *[(i, "elle ré que eau " * 5, "fr") for i in range(501, 520)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(x.doc_id, x.lang_pred) for x in identify(df, train(df)).collect()}
+    assert {x for x in got if x[0] < 40} == {(i, "a") for i in range(40)} and (500, "fr") in got
