@@ -5,15 +5,16 @@ most ``common`` of all documents, that is, an inverse document frequency in [-ln
 document has some hundreds of distinct terms, so at most (their mean number) / rare terms are that
 frequent, whatever the corpus; that bounds what is broadcast. Each of ``lexicons`` random sub-lexicons
 keeps a term with one of the rates 1 / 2^s of ``scales``. A document's distinct terms in the lexicon are
-sorted, and those in each sub-lexicon are hashed together. The fingerprint strings these hashes end to
-end, six hexadecimal digits each (zeros where no term fell into it). Dense sub-lexicons tell small edits
-of long texts, sparse ones large edits or short texts.
+sorted, and those in each sub-lexicon are hashed together, each by its place among them. The fingerprint
+strings these hashes end to end, four hexadecimal digits each (zeros where no term fell into it). Dense
+sub-lexicons tell small edits of long texts, sparse ones large edits or short texts.
 
-The likeness of two fingerprints is the share of equal hashes among the sub-lexicons in which either has
-terms. A text with no term in the lexicon is fingerprinted by all its words instead ("=" and a digest).
-Every document is also compared with an edited copy of itself and with its successor, which takes the
-documents in descending doc_id: they are dealt out by ranges of doc_id, and the first row of every range
-goes to the range before it as well.
+The likeness of two fingerprints is, for each scale, the share of equal hashes among the sub-lexicons in
+which either has terms; it is the greatest share of the scales with at least ``told`` such sub-lexicons,
+and that of all scales together if none has as many. A text with no term in the lexicon is fingerprinted
+by all its words instead ("=" and a digest). Every document is also compared with an edited copy of itself
+and with its successor, which takes the documents in descending doc_id: they are dealt out by ranges of
+doc_id, and the first row of every range goes to the range before it as well.
 
 Rows: a null text counts as empty. Null doc_ids come last; rows of one doc_id are in the order of their
 texts. A single document is its own successor. Other columns are ignored.
@@ -30,19 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import Tally, buffers, mix, slices, words_of
+from .words import Tally, buffers, mix, power, slices, words_of
 from .workspace import bucket_of, range_bounds, shuffle_partitions, table
 
 _U = np.uint64
-_DIGITS = 6
+_DIGITS = 4
 
 
 @dataclass(frozen=True)
 class IMatch:
     rare: float = 0.002
     common: float = 0.1
-    lexicons: int = 64
+    lexicons: int = 128
     scales: tuple[int, ...] = (1, 4, 5, 6, 7, 8, 9, 10)
+    told: int = 4
     seed: int = 5
 
 
@@ -75,18 +77,18 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Lexicon:
-    """Sorted term hashes, and for each a mask of the sub-lexicons that hold it."""
+    """Sorted term hashes, and for each masks of the sub-lexicons that hold it, 64 to a mask."""
 
     def __init__(self, terms: np.ndarray, p: IMatch):
         self.terms, self.p = np.sort(terms.astype(np.uint64)), p
-        self.mask = np.zeros(len(terms), np.uint64)
+        self.mask = np.zeros((-(-p.lexicons // 64), len(terms)), np.uint64)
         for k in range(p.lexicons):
             draw = mix(self.terms ^ _U((p.seed << 32) + 7919 * (k + 1)))
             rate = p.scales[k % len(p.scales)]
-            self.mask |= (draw >> _U(64 - rate) == 0).astype(np.uint64) << _U(k)
+            self.mask[k // 64] |= (draw >> _U(64 - rate) == 0).astype(np.uint64) << _U(k % 64)
 
     def hashes(self, column: pa.Array) -> tuple[np.ndarray, list[str]]:
-        """(24-bit hash of each text in each sub-lexicon, 0: no term; "" or the digest that stands for a text without terms)."""
+        """(16-bit hash of each text in each sub-lexicon, 0: no term; "" or the digest that stands for a text without terms)."""
         data, offsets = buffers(column)
         parts, other = [], []
         for i, j in slices(offsets):
@@ -94,42 +96,49 @@ class Lexicon:
             at = np.minimum(np.searchsorted(self.terms, w.hash), max(0, len(self.terms) - 1))
             known = self.terms[at] == w.hash if len(self.terms) else np.zeros(len(w.hash), bool)
             rows, terms = _distinct(w.row[known], w.hash[known])
-            mask = self.mask[np.searchsorted(self.terms, terms)] if len(terms) else np.zeros(0, np.uint64)
-            out = np.zeros((j - i, self.p.lexicons), np.uint32)
-            if len(rows):
-                heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-                some = rows[heads]
-                for k in range(self.p.lexicons):
-                    inside = (mask >> _U(k)) & _U(1)
-                    total = np.add.reduceat(inside * mix(terms + _U(k)), heads)
-                    any_ = np.add.reduceat(inside, heads) > 0
-                    out[some, k] = np.where(any_, mix(total) % _U(0xFFFFFF) + _U(1), 0)
+            held = self.mask[:, np.searchsorted(self.terms, terms)]
+            out = np.zeros((j - i, self.p.lexicons), np.uint16)
+            for k in range(self.p.lexicons if len(rows) else 0):
+                at = np.flatnonzero((held[k // 64] >> _U(k % 64)) & _U(1))
+                if not len(at):
+                    continue
+                row, term = rows[at], terms[at]
+                heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                place = np.arange(len(at)) - np.repeat(heads, np.diff(np.r_[heads, len(at)]))
+                total = np.add.reduceat(mix(term + _U(k)) * power(len(at))[place], heads)
+                out[row[heads], k] = mix(total) % _U(0xFFFF) + _U(1)
             parts.append(out)
-            for r in range(j - i):
-                none = not out[r].any()
+            for r, none in enumerate(~out.any(axis=1)):
                 other.append("=" + hashlib.sha256(w.hash[w.first[r] : w.first[r + 1]].tobytes()).hexdigest()[:32] if none else "")
-        return (np.concatenate(parts) if parts else np.zeros((0, self.p.lexicons), np.uint32)), other
+        return (np.concatenate(parts) if parts else np.zeros((0, self.p.lexicons), np.uint16)), other
 
 
 def _strings(hashes: np.ndarray, other: list[str]) -> list[str]:
-    raw = hashes.astype(">u4").view(np.uint8).reshape(len(hashes), -1, 4)[:, :, 1:].tobytes().hex()
+    raw = hashes.astype(">u2").tobytes().hex()
     width = hashes.shape[1] * _DIGITS
     return [o or raw[i * width : (i + 1) * width] for i, o in enumerate(other)]
 
 
-def likeness(a: str, b: str) -> float:
+def likeness(a: str, b: str, p: IMatch = IMatch()) -> float:
     """Of two fingerprints, 0 to 1."""
     if a.startswith("=") or b.startswith("="):
         return float(a == b)
     zero = "0" * _DIGITS
-    pairs = [(a[i : i + _DIGITS], b[i : i + _DIGITS]) for i in range(0, len(a), _DIGITS)]
-    told = [x == y for x, y in pairs if x != zero or y != zero]
-    return sum(told) / len(told)
-
-
-def _likenesses(a: np.ndarray, a_other: list[str], b: np.ndarray, b_other: list[str]) -> np.ndarray:
-    told = ((a != 0) | (b != 0)).sum(axis=1)
-    out = ((a == b) & (a != 0)).sum(axis=1) / np.maximum(told, 1)
+    told, same = [0] * len(p.scales), [0] * len(p.scales)
+    for k in range(p.lexicons):
+        x, y = (f[k * _DIGITS : (k + 1) * _DIGITS] for f in (a, b))
+        told[k % len(p.scales)] += x != zero or y != zero
+        same[k % len(p.scales)] += x == y != zero
+    enough = [s / t for s, t in zip(same, told) if t >= p.told]
+    return max(enough) if enough else sum(same) / sum(told)
+
+
+def _likenesses(a: np.ndarray, a_other: list[str], b: np.ndarray, b_other: list[str], p: IMatch) -> np.ndarray:
+    scales = len(p.scales)
+    by = lambda x: np.stack([x[:, k::scales].sum(axis=1) for k in range(scales)], axis=1)
+    told, same = by((a != 0) | (b != 0)), by((a == b) & (a != 0))
+    share = np.where(told >= p.told, same / np.maximum(told, 1), -1.0).max(axis=1, initial=-1.0)
+    out = np.where(share >= 0, share, same.sum(axis=1) / np.maximum(told.sum(axis=1), 1))
     for i, (x, y) in enumerate(zip(a_other, b_other)):
         if x or y:
             out[i] = float(x == y)
@@ -163,8 +172,8 @@ def _compare(lexicon, limit: int = 1 << 20):
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new]),
                     pa.array(_strings(own[:n], own_other[:n])),
                     pa.array(_strings(edit, edit_other)),
-                    pa.array(_likenesses(own[:n], own_other[:n], edit, edit_other)),
-                    pa.array(_likenesses(own[:n], own_other[:n], own[1:], own_other[1:])),
+                    pa.array(_likenesses(own[:n], own_other[:n], edit, edit_other, lex.p)),
+                    pa.array(_likenesses(own[:n], own_other[:n], own[1:], own_other[1:], lex.p)),
                 ],
                 ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
@@ -206,9 +215,8 @@ def fingerprints(spark: SparkSession, docs: DataFrame, params: IMatch = IMatch()
     first = sorted((r.part, r.top) for r in docs.select(of.alias("part"), key.alias("k")).groupBy("part").agg(F.max("k").alias("top")).collect())  # a row for each range
     above = {top: first[(i + 1) % len(first)][0] for i, (_, top) in enumerate(first)}
     place = lambda part, tail: F.struct(part.alias("part"), F.lit(tail).alias("tail"))
-    target = F.lit(0)
-    for top, part in above.items():
-        target = F.when(key == F.lit(top), F.lit(part)).otherwise(target)
+    literal = lambda values: F.array(*map(F.lit, values))
+    target = F.element_at(F.map_from_arrays(literal(above), literal(above.values())), key)  # one map for all ranges
     here = F.array(place(of, 0))
     if above:
         here = F.when(key.isin(list(above)), F.array(place(of, 0), place(target, 1))).otherwise(here)

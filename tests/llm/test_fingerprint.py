@@ -77,3 +77,37 @@ def test_ties_nulls_and_empty(spark):
     got = fingerprints(spark, spark.createDataFrame(rows, schema)).collect()
     assert sorted((x.doc_id or 0, x.n_chars) for x in got) == [(0, 0), (0, 1), (7, 1), (7, 1), (7, 1), (9, 1)]
     assert fingerprints(spark, spark.createDataFrame([], schema)).count() == 0
+
+
+def test_fingerprint_by_brute_force(spark):
+    import pyarrow as pa
+
+    from sparkloom.llm.words import mix, power
+
+    p = IMatch(rare=0.01, common=0.1, lexicons=96)
+    texts = corpus(200, 3)
+    lexicon = lexicon_of(spark.createDataFrame([(t,) for t in texts], "text string"), p)
+    one = lambda x: int(mix(np.array([x & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
+    base = [int(x) for x in power(2000)[:2000]]
+    got, other = lexicon.hashes(pa.array([*texts, "", None]))
+    for t, line, o in zip([*texts, "", None], got, other):
+        terms = sorted({hash_word(w) for w in words(t)} & set(lexicon.terms.tolist()))
+        want = []
+        for k in range(96):
+            rate = p.scales[k % 8]
+            inside = [h for h in terms if one(h ^ ((p.seed << 32) + 7919 * (k + 1))) >> (64 - rate) == 0]
+            want.append(one(sum(one(h + k) * base[i] for i, h in enumerate(inside))) % 0xFFFF + 1 if inside else 0)
+        assert want == line.tolist() and o.startswith("=") == (not any(want))
+
+
+def test_many_ranges_can_be_planned_and_long_texts(spark):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    df = spark.createDataFrame([(i, f"w{i % 7} v{i % 3}") for i in range(4000)] + [(9000, "w1 w2 w3 " * 200_000)], "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "1500")
+    try:
+        out = fingerprints(spark, df)
+        assert len(out._jdf.queryExecution().executedPlan().toString()) > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    got = {x.doc_id: x for x in fingerprints(spark, df).select("doc_id", "n_chars").collect()}
+    assert len(got) == 4001 and got[9000].n_chars == 1_800_000
