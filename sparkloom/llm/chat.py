@@ -10,15 +10,16 @@ by ``unescape``. The loss mask is a list of spans (start, length) of code points
 text.
 
 Rows: a null text or role counts as empty. Turns are in the order of turn (nulls first), then role, then
-text; repeated rows are turns of their own. Rows with a null conv_id are one conversation. Cost is linear
-in a conversation's text, and in its turns but for the running offsets (8 bytes a turn and turn).
+text; repeated rows are turns of their own. Rows with a null conv_id are one conversation. Offsets are a
+running sum over the sorted turns, made before they are collected, so cost is linear in text and turns
+but for the sort.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .workspace import table
@@ -52,32 +53,24 @@ def format_chats(turns: DataFrame, learn: str = "assistant", control: Sequence[s
     if "<|" not in control:
         raise ValueError("the template's own marks must be among the control strings")
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), empty("role").alias("role"), empty("text").alias("text"))
-    ordered = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
-    ordered = ordered.withColumn("n", F.size("t"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), empty("role").alias("role"), empty("text").alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.select("conv_id", "role", F.row_number().over(order).alias("n"), F.lag("role").over(order).alias("before"), escape(F.col("text"), control).alias("text"))
+    # what stands before each text in the output: the mark within a run of one role, or that at the head of one
+    head = F.when(F.col("n") > 1, F.lit(len(END))).otherwise(F.lit(0)) + len(TURN) + F.length(escape(F.col("role"), control)) + len(TEXT)
+    rows = rows.withColumn("mark", F.when(F.col("before").eqNullSafe(F.col("role")), F.lit(len(NEXT))).otherwise(head).cast("long"))
+    upto = F.sum(F.col("mark") + F.length("text")).over(Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("start", upto - F.length("text"))
+    ordered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "role", "text", "start"))).alias("t")).withColumn("size", F.size("t"))
     # where a run of one role begins (positions from 1), and where it ends
-    ordered = ordered.withColumn("b", F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (i == 1) | (F.get("t", i - 1)["role"] != F.get("t", F.greatest(i - 2, F.lit(0)))["role"])))
-    merged = F.transform("b", lambda i, k: F.struct(
-        F.get("t", i - 1)["role"].alias("role"),
-        F.transform(F.slice("t", i, F.coalesce(F.get("b", k + 1), F.col("n") + 1) - i), lambda x: escape(x["text"], control)).alias("texts"),
+    ordered = ordered.withColumn("b", F.filter(F.sequence(F.lit(1), F.col("size")), lambda i: (i == 1) | (F.get("t", i - 1)["role"] != F.get("t", F.greatest(i - 2, F.lit(0)))["role"])))
+    merged = F.transform("b", lambda i, k: F.concat(
+        F.lit(TURN), escape(F.get("t", i - 1)["role"], control), F.lit(TEXT),
+        F.array_join(F.transform(F.slice("t", i, F.coalesce(F.get("b", k + 1), F.col("size") + 1) - i), lambda x: x["text"]), NEXT),
     ))
-    merged = ordered.select("conv_id", merged.alias("m"))
-    # pieces alternate: a mark, then a text
-    pieces = F.flatten(F.transform("m", lambda x, k: F.transform(x["texts"], lambda s, i: F.struct(
-        F.when(i > 0, F.lit(NEXT)).otherwise(F.concat(F.when(k > 0, F.lit(END)).otherwise(F.lit("")), F.lit(TURN), escape(x["role"], control), F.lit(TEXT))).alias("mark"),
-        s.alias("text"),
-        (x["role"] == learn).alias("learn"),
-    ))))
-    piece = merged.select("conv_id", pieces.alias("p"))
-    formatted = F.concat(F.array_join(F.flatten(F.transform("p", lambda x: F.array(x["mark"], x["text"]))), ""), F.lit(END))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    run = F.aggregate("p", start, lambda s, x: F.struct(
-        (s["at"] + F.length(x["mark"]) + F.length(x["text"])).alias("at"),
-        F.concat(s["starts"], F.array(s["at"] + F.length(x["mark"]))).alias("starts"),
-    ), lambda s: s["starts"])
-    placed = piece.select("conv_id", formatted.alias("formatted"), "p", run.alias("starts"))
-    spans = F.transform(F.filter(F.arrays_zip("p", "starts"), lambda x: x["p"]["learn"]), lambda x: F.struct(x["starts"].alias("start"), F.length(x["p"]["text"]).cast("long").alias("length")))
-    return placed.select("conv_id", "formatted", spans.alias("loss"))
+    formatted = F.concat(F.array_join(merged, END), F.lit(END))
+    spans = F.transform(F.filter("t", lambda x: x["role"] == learn), lambda x: F.struct(x["start"].alias("start"), F.length(x["text"]).cast("long").alias("length")))
+    return ordered.select("conv_id", formatted.alias("formatted"), spans.alias("loss"))
 
 
 def read_chats(chats: DataFrame, control: Sequence[str] = CONTROL) -> DataFrame:
