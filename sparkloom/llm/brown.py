@@ -2,8 +2,8 @@
 
 Training counts every token of the training documents (words and one end token a text). Words with a
 share of at least ``head`` of all tokens are head words; there are at most 1 / head of them, which
-bounds what is broadcast. Words with a share of at least ``core`` (at most 1 / core) are clustered:
-starting from frequency order they are moved one at a time to the class that most raises the likelihood
+bounds what is broadcast. Words with a share of at least ``core`` are clustered, the ``most_core`` most
+frequent of them if there are more, which bounds the bigrams that come to the driver (its square): starting from frequency order they are moved one at a time to the class that most raises the likelihood
 of the class bigrams, until no move helps or ``rounds`` are over; the other words meanwhile stand in classes
 by shape (their last byte, and whether they hold signs beyond ASCII). Then every other word of the training
 documents, however rare, goes to the cluster that by its own bigrams with these classes raises the likelihood
@@ -19,7 +19,8 @@ Classes and counts of head words are broadcast. Those of the others come by equi
 document that holds them. The class of every token is then written, a byte each, counted and scored.
 
 Rows: a null text counts as empty (the end token alone). A null doc_id counts as an empty one for the
-split. Repeated rows each get their row. Without training documents N and V are 0 and scores follow the
+split. Repeated rows each get their row. Texts meet their rarer words by a 64-bit key; where two texts share
+one, each finds the other's words beside its own and takes only its own. Without training documents N and V are 0 and scores follow the
 same formulas. Words are compared by 64-bit hashes.
 """
 
@@ -49,6 +50,7 @@ class Brown:
 
     head: float = 1e-6
     core: float = 1.5e-4
+    most_core: int = 2000
     classes: int = 48
     shapes: int = 64
     rounds: int = 12
@@ -417,8 +419,9 @@ def train(spark: SparkSession, texts: DataFrame, p: Brown, ws: Workspace) -> tup
     word, n = head.column(0).to_numpy().view(np.uint64), head.column(1).to_numpy()
     order = np.argsort(word)
     word, n = word[order], n[order]
-    core = word[n >= max(1.0, p.core * total)]
-    core_n = n[n >= max(1.0, p.core * total)]
+    often = np.flatnonzero(n >= max(1.0, p.core * total))
+    often = np.sort(often[np.argsort(-n[often], kind="stable")[: p.most_core]])
+    core, core_n = word[often], n[often]
     held = spark.sparkContext.broadcast(core)
     units = len(core) + p.shapes + 1
     pairs = texts.mapInArrow(_bigrams(held, p), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most units squared rows
@@ -437,7 +440,7 @@ def train(spark: SparkSession, texts: DataFrame, p: Brown, ws: Workspace) -> tup
     np.add.at(by[1], of[:size], 1)
     shape = {r["shape"]: (r.n, r.v) for r in vocabulary.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}  # a row for each shape
     ends = shape.get(-1, (0, 0))[0]
-    core_shape = {r.word: r["shape"] for r in words.where(F.col("n") >= F.lit(max(1.0, p.core * total))).select("word", "shape").collect()}  # at most 1 / p.core rows
+    core_shape = {r.word: r["shape"] for r in words.where(F.col("n") >= F.lit(int(core_n.min()) if len(core) else total + 1)).select("word", "shape").collect()}  # as many as core words, and those that tie with the last
     n_core = {}
     for x, c in zip(core.view(np.int64).tolist(), core_n.tolist()):
         a, b = n_core.get(core_shape[x], (0, 0))

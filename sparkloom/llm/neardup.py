@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -36,7 +36,7 @@ _U = np.uint64
 class NearDup:
     """words a shingle; num / den: least similarity; trees, branch (positions a node chooses), depth
     (levels before node sizes count); sketch positions; node_limit and family_limit: most vertices
-    that are compared exhaustively in one task; near: least sketch agreement of a candidate; stop and
+    that are compared exhaustively in one task; family_weight: most shingles that they may have; near: least sketch agreement of a candidate; stop and
     star: sketch distances to a leader up to which a vertex ends there, and is tied to it; max_levels:
     levels after which a node that is still large is taken as one family (it then is compared in full);
     leaders: rounds of leaders in a large family."""
@@ -50,6 +50,7 @@ class NearDup:
     sketch: int = 128
     node_limit: int = 1024
     family_limit: int = 1024
+    family_weight: int = 4_000_000
     near: float = 0.72
     stop: float = 0.27
     star: float = 0.55
@@ -395,6 +396,11 @@ def _link_blocks(p: NearDup):
     return run
 
 
+def _in_full(p: NearDup) -> Column:
+    """Whether a family of m vertices with w shingles is compared in one piece; beyond, it is cut into blocks."""
+    return (F.col("m") <= p.family_limit) & (F.col("w") <= p.family_weight)
+
+
 def _sized(nodes: DataFrame) -> DataFrame:
     """nodes (node, rep) of nodes that hold more than one vertex, with the number m."""
     sizes = nodes.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
@@ -429,16 +435,18 @@ def _large_families(ws: Workspace, members: DataFrame, p: NearDup, parts: int) -
         stars = stars.union(more)
     comp = stars.groupBy("a").agg(F.min("b").alias("comp"))
     open_ = ws.narrow(apart, "big_open")
-    count = ws.narrow(sets.select("g", F.lit(0).alias("o")).union(open_.select("g", F.lit(1).alias("o"))).groupBy("g").agg(F.sum(1 - F.col("o")).alias("n"), F.sum("o").alias("n_open")).where("n_open > 0")
-                    .select("g", F.ceil(F.col("n") / p.family_limit).alias("nt"), F.ceil(F.col("n_open") / p.family_limit).alias("no")), "big_count")
+    weight = sets.select("g", "rep", (F.length("items") / 8).cast("long").alias("w"))
+    each = weight.withColumn("o", F.lit(0)).union(open_.join(weight, ["g", "rep"]).select("g", "rep", "w", F.lit(1).alias("o")))
+    blocks = lambda o: F.greatest(F.ceil(F.sum(F.when(F.col("o") == o, 1)) / p.family_limit), F.ceil(F.sum(F.when(F.col("o") == o, F.col("w"))) / p.family_weight))
+    count = ws.narrow(each.groupBy("g").agg(blocks(0).alias("nt"), blocks(1).alias("no")).where("no > 0"), "big_count")
     full = sets.join(lead1, ["g", "rep"]).join(comp.withColumnRenamed("a", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(count, "g")
     cut = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     pair = lambda o, t: F.xxhash64("g", o, t)
     cols = ["rep", "comp", "lead", "s8", "items"]
     target = full.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("no") - 1))).select(pair(F.col("o"), cut("nt")).alias("pair"), F.lit(1).alias("side"), *cols)
     source = full.join(open_, ["g", "rep"], "left_semi").withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nt") - 1))).select(pair(cut("no"), F.col("t")).alias("pair"), F.lit(0).alias("side"), *cols)
-    blocks = source.union(target).repartition(parts, "pair").sortWithinPartitions("pair", "side", "rep")
-    return ws.narrow(blocks.mapInArrow(_link_blocks(p), "a long, b long"), "big_links").union(stars)
+    pairs = source.union(target).repartition(parts, "pair").sortWithinPartitions("pair", "side", "rep")
+    return ws.narrow(pairs.mapInArrow(_link_blocks(p), "a long, b long"), "big_links").union(stars)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearDup = NearDup(), ws: Workspace | None = None) -> DataFrame:
@@ -449,7 +457,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearDup = Near
     seen = Observation()
     rows = ws.save(docs.mapInArrow(_describe(p), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary").observe(seen, F.count(F.lit(1)).alias("n")), "rows")
     ws.sized_for(seen.get["n"])
-    reps = ws.narrow(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sketch")).alias("x")).select("h1", "h2", F.col("x.doc_id").alias("rep"), F.col("x.sketch").alias("sketch")), "reps")
+    reps = ws.narrow(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sketch", "n_shingles")).alias("x")).select("h1", "h2", F.col("x.doc_id").alias("rep"), F.col("x.sketch").alias("sketch"), F.col("x.n_shingles").alias("w")), "reps")
     sketch = reps.select("rep", "sketch")
     short = F.substring("sketch", 1, p.sketch).alias("s8")
 
@@ -477,12 +485,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearDup = Near
     family = ws.narrow(components(ws, tied, "ties").select(F.col("id").alias("rep"), F.col("component").alias("g")), "family")
     ws.drop(*held)
 
-    sizes = family.groupBy("g").agg(F.count("*").alias("m"))
-    known = family.join(sizes, "g").join(reps.select("rep", short), "rep")
-    texts = docs.withColumnRenamed("doc_id", "rep").join(known, "rep").select("g", "m", "rep", "text", "s8")
+    known = family.join(reps.select("rep", "w", short), "rep")
+    sizes = known.groupBy("g").agg(F.count("*").alias("m"), F.sum("w").alias("w"))
+    known = known.drop("w").join(sizes, "g")
+    texts = docs.withColumnRenamed("doc_id", "rep").join(known, "rep").select("g", "m", "w", "rep", "text", "s8")
     texts = ws.save(texts, "texts")
-    links = texts.where(F.col("m") <= p.family_limit).select("g", "rep", "text", "s8").repartition(parts, "g").sortWithinPartitions("g", "rep").mapInArrow(_link_families(p), "a long, b long")
-    big = texts.where(F.col("m") > p.family_limit).select("g", "rep", "text", "s8")
+    links = texts.where(_in_full(p)).select("g", "rep", "text", "s8").repartition(parts, "g").sortWithinPartitions("g", "rep").mapInArrow(_link_families(p), "a long, b long")
+    big = texts.where(~_in_full(p)).select("g", "rep", "text", "s8")
     if not big.isEmpty():
         links = links.union(_large_families(ws, big, p, parts))
     linked = ws.narrow(components(ws, links, "links"), "linked")

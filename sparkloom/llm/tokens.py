@@ -313,8 +313,8 @@ class ByteBpe:
     def encode(self, text: str) -> np.ndarray:
         try:
             return self.fast.encode_to_numpy(text, allowed_special="all")
-        except BaseException as e:  # its regex engine gives up on some very long runs, by a panic
-            if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit)):
+        except BaseException as e:  # its regex engine gives up on some very long runs, by a panic: then the library once
+            if isinstance(e, (MemoryError, KeyboardInterrupt, SystemExit, GeneratorExit)):
                 raise
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 

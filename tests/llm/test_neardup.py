@@ -84,3 +84,11 @@ def test_no_link_inside_a_family_hangs_on_the_sketch():
     a = np.arange(100, dtype=np.uint64)
     apart = np.stack([np.zeros(128, np.uint8), np.ones(128, np.uint8)])  # sketches that agree nowhere
     assert link_sets([a, a[:86]], apart, SMALL) == [(0, 1)] and link_sets([a, a[:84]], apart, SMALL) == []
+
+
+def test_heavy_families_are_cut_by_shingles(spark):
+    from dataclasses import replace
+
+    rows = corpus(3, 2, 60, 6)
+    got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), replace(SMALL, family_weight=900)).collect()
+    assert {tuple(r) for r in got} == brute(rows)
