@@ -13,7 +13,7 @@ documents as they came. Each works on all that its predecessor kept:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import langid, mixing, neardup, packing
@@ -31,17 +31,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
     seen = neardup.near_duplicates(spark, keyed.select(F.col("__key").alias("doc_id"), "text"), NEAR)
-    ids = keyed.where("doc_id is not null").select("__key", F.col("doc_id").alias("__id")).distinct()
+    known = keyed.where("doc_id is not null")
+    ids = known.select("__key", F.col("doc_id").alias("__id")).distinct()
     member = seen.where("doc_id is not null").select(F.col("doc_id").alias("__key"), "component_id").distinct().join(ids, "__key")
     first = member.groupBy("component_id").agg(F.min(F.struct("__id", "__key")).alias("m")).select("m.__key")
-    order = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))
-    left = keyed.where("doc_id is not null").join(first, "__key", "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
-    return left.select(*docs.columns).union(docs.where("doc_id is null"))
+    # of rows that repeat doc_id and text one stays; each task keeps one of those it reads before any are shuffled
+    once = known.groupBy("__key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return once.join(first, "__key", "left_semi").select("row.*").select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(spark, docs).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
+    taken = mixing.mix(spark, docs)
+    copies = F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    # the outer form keeps the optimiser from testing the copies by working them out a second time
+    return taken.select("row", F.explode_outer(copies).alias("copy")).where("copy is not null").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
