@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import guards, text as tx
 from ..operators import answering, chunking, evaluation, filters, health, search, store, synth
 from ..sources import clean, loaders
+from ..tables import ensure, version_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +45,16 @@ def _asks(spark, d) -> DataFrame:
     return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _index(spark, d) -> search.KeywordIndex:
+    """The keyword index of documents, built by the first query that needs it and used until the files change."""
+    raw = _t(spark, d, "documents")
+    return search.KeywordIndex.build(_docs(spark, d), version_of(raw), "documents-postings")
+
+
+def _search(spark, d, k, **options) -> DataFrame:
+    return search.bm25(_asks(spark, d), _docs(spark, d), k, index=_index(spark, d), **options)
+
+
 TOK = tx.keyword_tokens_sql
 
 # ---------------------------------------------------------------- keyword search
@@ -74,18 +85,18 @@ def doc_length(spark, d):
 
 @query(f"WITH {_TF} SELECT term, count(*) AS df FROM tf GROUP BY term")
 def doc_freq(spark, d):
-    return search.term_counts(_docs(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _index(spark, d).table.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query(f"WITH {_BM25}, {_ranked('scored', 10)} SELECT * FROM r")
 def bm25_topk(spark, d):
-    return search.bm25(_asks(spark, d), _docs(spark, d), 10)
+    return _search(spark, d, 10)
 
 
 @query(f"WITH {_BM25}, f AS (SELECT s.* FROM scored s JOIN documents d ON d.doc_id = s.id WHERE d.lang IN ('en', 'de')), {_ranked('f', 5)} SELECT * FROM r")
 def bm25_filtered_topk(spark, d):
     docs = _docs(spark, d, "lang")
-    return search.bm25(_asks(spark, d), docs, 5, keep=docs.where(filters.compile_filter({"lang": {"$in": ["en", "de"]}}, docs)))
+    return _search(spark, d, 5, keep=docs.where(filters.compile_filter({"lang": {"$in": ["en", "de"]}}, docs)))
 
 
 # ---------------------------------------------------------------- dense search
@@ -129,7 +140,8 @@ dense AS (SELECT qs.id AS query_id, ds.id, round(sum(qs.w * ds.w) / (qn.n * dn.n
 
 def _dense_text(spark, d, k):
     asks = search.hashed_vectors(_asks(spark, d).withColumnRenamed("query_id", "id")).withColumnRenamed("id", "query_id")
-    return search.nearest(asks, search.hashed_vectors(_docs(spark, d)), k, digits=4, same=True)
+    vectors = ensure(spark, "documents-vectors", version_of(_t(spark, d, "documents")), lambda: search.hashed_vectors(_docs(spark, d)))
+    return search.nearest(asks, vectors, k, digits=4, same=True)
 
 
 @query(f"WITH {_DENSE_TEXT}, {_ranked('dense', 5)} SELECT * FROM r WHERE score > 0.05")
@@ -145,7 +157,7 @@ u AS (SELECT query_id, id, "rank", 0 AS l, 1.4::DOUBLE / (60 + "rank") AS x FROM
 f AS (SELECT query_id, id, round(sum(x), 9) AS score, min(l * 1000 + "rank") AS first FROM u GROUP BY ALL),
 o AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS INTEGER) AS "rank", score FROM f) SELECT * FROM o WHERE "rank" <= 10""")
 def hybrid_search(spark, d):
-    return search.rrf([_dense_text(spark, d, 20), search.bm25(_asks(spark, d), _docs(spark, d), 20)], 10, weights=[1.4, 0.6])
+    return search.rrf([_dense_text(spark, d, 20), _search(spark, d, 20)], 10, weights=[1.4, 0.6])
 
 
 @query(f"""WITH {_HYBRID},
@@ -153,7 +165,7 @@ dn2 AS (SELECT query_id, id, CASE WHEN max(score) OVER w = min(score) OVER w THE
 sn AS (SELECT query_id, id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM s WINDOW w AS (PARTITION BY query_id)),
 f AS (SELECT query_id, id, round(0.7::DOUBLE * coalesce(a.x, 0) + (1 - 0.7::DOUBLE) * coalesce(b.x, 0), 6) AS score FROM dn2 a FULL JOIN sn b USING (query_id, id)), {_ranked('f', 10)} SELECT * FROM r""")
 def weighted_minmax_fuse(spark, d):
-    return search.weighted(_dense_text(spark, d, 20), search.bm25(_asks(spark, d), _docs(spark, d), 20), 10, 0.7)
+    return search.weighted(_dense_text(spark, d, 20), _search(spark, d, 20), 10, 0.7)
 
 
 @query(f"""WITH {_BM25}, {_ranked('scored', 10, 'a')}, {_ranked('scored', 10, 'b', 'id')},
@@ -161,8 +173,8 @@ u AS (SELECT query_id, id, "rank", 0 AS l FROM a UNION ALL SELECT query_id, id,
 f AS (SELECT query_id, id, round(sum(1::DOUBLE / (60 + "rank")), 9) AS score, min(l * 1000 + "rank") AS first FROM u GROUP BY ALL),
 o AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS INTEGER) AS "rank", score FROM f) SELECT * FROM o WHERE "rank" <= 10""")
 def rrf_fuse(spark, d):
-    a = search.bm25(_asks(spark, d), _docs(spark, d), 10)
-    every = search.bm25(_asks(spark, d), _docs(spark, d), 2**31 - 1)
+    a = _search(spark, d, 10)
+    every = _search(spark, d, 2**31 - 1)
     b = search.top(every.drop("rank"), 10, F.col("id")).select("query_id", "id", "rank", "score")
     return search.rrf([a, b], 10)
 
@@ -209,7 +221,8 @@ scored AS (SELECT q.query_id, tf.id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df
 SELECT query_id, pid AS id, CAST("rank" AS INTEGER) AS "rank", score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best_at, pid) AS "rank" FROM p) WHERE "rank" <= 5""")
 def parent_expand(spark, d):
     windows = chunking.fixed_windows(_docs(spark, d)).select((F.col("doc_id") * 1000 + F.col("ordinal")).alias("id"), "text", F.col("doc_id").alias("parent_id"))
-    return search.expand_parents(search.bm25(_asks(spark, d), windows.select("id", "text"), 20), windows.select("id", "parent_id"), 5)
+    index = search.KeywordIndex.build(windows.select("id", "text"), version_of(_t(spark, d, "documents")), "windows-postings")
+    return search.expand_parents(search.bm25(_asks(spark, d), windows, 20, index=index), windows.select("id", "parent_id"), 5)
 
 
 # ---------------------------------------------------------------- filters and access
@@ -368,7 +381,7 @@ def _gold(spark, d) -> DataFrame:
 
 
 def _metrics(spark, d) -> DataFrame:
-    return evaluation.retrieval_metrics(search.bm25(_asks(spark, d), _docs(spark, d), 10), _gold(spark, d), _asks(spark, d))
+    return evaluation.retrieval_metrics(_search(spark, d, 10), _gold(spark, d), _asks(spark, d))
 
 
 def _long(spark, d) -> DataFrame:
