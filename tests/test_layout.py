@@ -9,7 +9,7 @@ from sparkloom.sources.layout import Word, find_tables, page_text
 def line(text, x, top, size=10.0, bold=False):
     out = []
     for w in text.split(" "):
-        out.append(Word(w, x, x + 5 * len(w), top, top + size, size, bold))
+        out.append(Word(w, float(x), float(x + 5 * len(w)), float(top), float(top + size), float(size), bold))
         x += 5 * len(w) + 4
     return out
 
