@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import json_object, path_matches, quote_in_text, stable_hash
+from ..tables import exists, scratch, union_all
+from .answering import Model, complete, is_object
+
 Z = 1.96
 LOWER_IS_BETTER = ("answerable_abstain_rate", "error_rate")
 
@@ -131,3 +136,161 @@ def usage_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     x = calls.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
     cost = (F.col("input_tokens") * F.col("price_in") + F.col("output_tokens") * F.col("price_out")) / 1e6
     return x.join(prices, "model", "left").select("model", "calls", "input_tokens", "output_tokens", F.round(cost, 6).alias("cost_usd"))
+
+
+# -- gold passages by place
+
+def place_matches(source: Column, section: Column, text: Column, want_source: Column, want_section: Column, want_quote: Column) -> Column:
+    """Whether a passage is where a reference points: its file, and then the quote in its text if one is given,
+    else the section in its headings if one is given."""
+    flat = lambda c: F.lower(F.trim(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("/"))))
+    inside = F.when(F.coalesce(want_quote, F.lit("")) != "", quote_in_text(want_quote, text)).when(F.coalesce(want_section, F.lit("")) != "", F.contains(flat(section), flat(want_section))).otherwise(F.lit(True))
+    return path_matches(F.coalesce(source, F.lit("")), want_source) & inside
+
+
+def gold_links(results: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, gold_no, id, rank): which results (query_id, id, rank, source, section, text) are at which gold
+    place (query_id, gold_no, source, section, quote). They meet by query; quotes are tested last, on what is left."""
+    want = gold.select("query_id", "gold_no", F.col("source").alias("want_source"), F.col("section").alias("want_section"), "quote")
+    pairs = results.join(want, "query_id").where(path_matches(F.coalesce("source", F.lit("")), F.col("want_source")))
+    return pairs.where(place_matches(F.col("source"), F.col("section"), F.col("text"), F.col("want_source"), F.col("want_section"), F.col("quote"))).select("query_id", "gold_no", "id", "rank")
+
+
+def metrics_by_place(links: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, hit, recall, mrr) of all queries with gold places, from gold_links()."""
+    total = gold.groupBy("query_id").agg(F.countDistinct("gold_no").alias("wanted"))
+    found = links.groupBy("query_id").agg(F.countDistinct("gold_no").alias("n"), F.min("rank").alias("best"))
+    n = F.coalesce("n", F.lit(0))
+    return total.join(found, "query_id", "left").select("query_id", (n > 0).cast("double").alias("hit"), F.round(n / F.col("wanted"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("best"), F.lit(0.0)), 6).alias("mrr"))
+
+
+# -- answers
+
+def citation_metrics(answers: DataFrame, results: DataFrame, links: DataFrame, cases: DataFrame) -> DataFrame:
+    """(query_id, citation_valid_rate, citation_source_match): verified of proposed citations; and, of the
+    citations of answered questions that can be answered and have gold, those whose passage is at a gold place.
+    Null where there is nothing to measure. answers: (query_id, abstained, proposed, verified, citations)."""
+    valid = F.when(F.col("proposed") > 0, F.round(F.col("verified") / F.col("proposed"), 6))
+    cited = answers.where("not abstained").select("query_id", F.explode("citations").alias("c")).select("query_id", F.col("c.source").alias("rank"))
+    at_gold = results.select("query_id", "rank", "id").join(links.select("query_id", "id").distinct().withColumn("gold", F.lit(1)), ["query_id", "id"], "left")
+    share = cited.join(at_gold, ["query_id", "rank"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("gold", F.lit(0))), 6).alias("share"))
+    asked = cases.select("query_id", "answerable", F.col("has_gold"))
+    x = answers.select("query_id", valid.alias("citation_valid_rate")).join(asked, "query_id").join(share, "query_id", "left")
+    return x.select("query_id", "citation_valid_rate", F.when(F.col("answerable") & F.col("has_gold"), F.col("share")).alias("citation_source_match"))
+
+
+def abstention_metrics(answers: DataFrame, cases: DataFrame) -> DataFrame:
+    """(query_id, abstain_correct, answerable_abstain_rate, unanswerable_abstain_rate); of the last two the one
+    that doesn't apply is null."""
+    x = answers.select("query_id", "abstained").join(cases.select("query_id", "answerable"), "query_id")
+    said = F.col("abstained").cast("double")
+    return x.select("query_id", (F.col("abstained") != F.col("answerable")).cast("double").alias("abstain_correct"), F.when(F.col("answerable"), said).alias("answerable_abstain_rate"), F.when(~F.col("answerable"), said).alias("unanswerable_abstain_rate"))
+
+
+def judge_sample(cases: DataFrame, n: int | None, seed: int = 0) -> DataFrame:
+    """The cases that a judge grades: n of them in the order of a seeded digest of their ids; all where n is None."""
+    if n is None:
+        return cases
+    return cases.orderBy(stable_hash(F.lit(str(seed)), F.col("query_id").cast("string")), "query_id").limit(n)
+
+
+VERDICTS = {"correct": 1.0, "partial": 0.5, "incorrect": 0.0}
+GROUNDED = {"supported": 1.0, "partial": 0.5, "unsupported": 0.0}
+
+
+def judge(answers: DataFrame, cases: DataFrame, model: Model) -> DataFrame:
+    """(query_id, correctness, groundedness) of answers (query_id, answer, abstained, context) to cases (query_id,
+    question, gold_answer, answerable). One who abstains from what could be answered has 0 without a call; a
+    verdict that doesn't come in two tries is null."""
+    x = answers.select("query_id", "answer", "abstained", "context").join(cases.select("query_id", "question", "gold_answer", "answerable"), "query_id")
+
+    def graded(rows: DataFrame, ask: Column, scale: Mapping[str, float], name: str) -> DataFrame:
+        def valid(reply: str) -> bool:
+            return is_object(reply) and str(json.loads(reply[reply.index("{") : reply.rindex("}") + 1]).get("verdict", "")).lower() in scale
+
+        told = complete(rows.select("query_id", ask.alias("__ask")), F.col("__ask"), model, tries=2, valid=valid)
+        verdict = F.lower(F.from_json(json_object(F.col("reply")), "verdict string")["verdict"])
+        return told.select("query_id", F.element_at(F.create_map(*[F.lit(v) for kv in scale.items() for v in kv]), verdict).alias(name))
+
+    rate = lambda scale: F.lit(f' Reply as JSON {{"verdict": one of {", ".join(scale)}}}.\n\n')
+    asked = x.where(F.col("answerable") & (F.coalesce("gold_answer", F.lit("")) != "") & ~F.col("abstained"))
+    right = graded(asked, F.concat(F.lit("Does the answer say what the expected answer says?"), rate(VERDICTS), F.lit("Question: "), "question", F.lit("\nExpected: "), "gold_answer", F.lit("\nAnswer: "), "answer"), VERDICTS, "correctness")
+    silent = x.where(F.col("answerable") & (F.coalesce("gold_answer", F.lit("")) != "") & F.col("abstained")).select("query_id", F.lit(0.0).alias("correctness"))
+    held = graded(x.where("not abstained"), F.concat(F.lit("Is every claim of the answer supported by the sources?"), rate(GROUNDED), F.lit("Sources:\n"), F.coalesce("context", F.lit("")), F.lit("\n\nAnswer: "), "answer"), GROUNDED, "groundedness")
+    return x.select("query_id").join(right.union(silent), "query_id", "left").join(held, "query_id", "left")
+
+
+def full_report(cases: DataFrame, answers: DataFrame, results: DataFrame, gold: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """Long values (query_id, metric, value) of everything that can be measured, error_rate included. cases:
+    (query_id, answerable); answers may have a column error; results: (query_id, id, rank, source, section, text)."""
+    links = gold_links(results, gold)
+    asked = cases.select("query_id", "answerable").join(gold.select("query_id").distinct().withColumn("has_gold", F.lit(True)), "query_id", "left").withColumn("has_gold", F.coalesce("has_gold", F.lit(False)))
+    ok = answers.where("error is null") if "error" in answers.columns else answers
+    open_ = asked.where("answerable and has_gold").select("query_id").join(ok.select("query_id"), "query_id")
+    parts = [
+        melt(metrics_by_place(links, gold).join(open_, "query_id"), "hit", "recall", "mrr"),
+        melt(citation_metrics(ok, results, links, asked), "citation_valid_rate", "citation_source_match"),
+        melt(abstention_metrics(ok, cases), "abstain_correct", "answerable_abstain_rate", "unanswerable_abstain_rate"),
+    ]
+    failed = answers.select("query_id", F.lit("error_rate").alias("metric"), (F.col("error").isNotNull() if "error" in answers.columns else F.lit(False)).cast("double").alias("value"))
+    parts.append(failed)
+    if judged is not None:
+        parts.append(melt(judged, "correctness", "groundedness"))
+    return union_all(parts)
+
+
+def worst(values: DataFrame, n: int = 10) -> DataFrame:
+    """(query_id, mean): the n cases with the lowest mean of their metrics (those where lower is better reversed)."""
+    v = F.when(F.col("metric").isin(*LOWER_IS_BETTER), 1 - F.col("value")).otherwise(F.col("value"))
+    return values.groupBy("query_id").agg(F.round(F.avg(v), 6).alias("mean")).orderBy("mean", "query_id").limit(n)
+
+
+def ablation_by_tag(values: DataFrame, cases: DataFrame, metric: str, variants: Sequence[str]) -> DataFrame:
+    """A row for each tag, a column for each variant's mean of one metric. values: (query_id, variant, metric, value)."""
+    tagged = values.where(F.col("metric") == metric).join(cases.select("query_id", F.explode("tags").alias("tag")), "query_id")
+    return tagged.groupBy("tag").pivot("variant", list(variants)).agg(F.round(F.avg("value"), 6))
+
+
+def ablate(variants: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """(values (variant, query_id, metric, value) of all variants that can be made, why the others can't). Each is
+    a function that returns long values, and is written before the next is asked."""
+    parts, broken = [], {}
+    for name, make in variants.items():
+        try:
+            parts.append(scratch(make().select(F.lit(name).alias("variant"), "query_id", "metric", "value"), "variant"))
+        except Exception as e:  # a variant that can't run mustn't take the others with it
+            broken[name] = f"{type(e).__name__}: {str(e)[:200]}"
+    return (union_all(parts) if parts else None), broken
+
+
+def run_resumed(cases: DataFrame, checkpoint: str, answer_batch: Callable[[DataFrame], DataFrame], batches: int = 8) -> DataFrame:
+    """All answers to cases (query_id, question), a share of them at a time, each written below checkpoint before
+    the next begins; what a former run has answered without an error is kept. answer_batch adds columns, error
+    among them."""
+    spark = cases.sparkSession
+    for n in range(batches):
+        part = cases.where(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == n)
+        if exists(spark, checkpoint):
+            done = spark.read.parquet(checkpoint).where(F.col("error").isNull()).select("query_id", "question")
+            part = part.join(done, ["query_id", "question"], "left_anti")
+        answer_batch(part).write.mode("append").parquet(checkpoint)
+    kept = spark.read.parquet(checkpoint).join(cases.select("query_id", "question"), ["query_id", "question"], "left_semi")
+    latest = kept.groupBy("query_id").agg(F.max_by(F.struct(*kept.columns), F.when(F.col("error").isNull(), 1).otherwise(0)).alias("x"))
+    return latest.select("x.*")
+
+
+def render(title: str, summary: DataFrame, outcomes: DataFrame | None = None, gates: DataFrame | None = None, form: str = "markdown") -> str:
+    """A report of small tables (a row for each metric, outcome or threshold), as Markdown, text or JSON."""
+    parts = {"metrics": summary, "outcomes": outcomes, "thresholds": gates}
+    held = {k: (x.columns, [list(r) for r in x.orderBy(x.columns[0]).collect()]) for k, x in parts.items() if x is not None}
+    if form == "json":
+        return json.dumps({"title": title, **{k: [dict(zip(c, r)) for r in rows] for k, (c, rows) in held.items()}}, default=str, ensure_ascii=False)
+    out = [f"# {title}" if form == "markdown" else title]
+    for name, (columns, rows) in held.items():
+        cells = [[("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)) for v in r] for r in rows]
+        if form == "markdown":
+            out += ["", f"## {name}", "", "| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *["| " + " | ".join(c) + " |" for c in cells]]
+        else:
+            wide = [max(map(len, col)) for col in zip(columns, *cells)]
+            out += ["", name, *["  ".join(v.ljust(w) for v, w in zip(r, wide)).rstrip() for r in [columns, *cells]]]
+    return "\n".join(out)
