@@ -242,7 +242,7 @@ _filtered("filter_in", {"source": {"$in": ["src1", "src2", None]}}, "source IN (
 _filtered("filter_nin", {"source": {"$nin": ["src1", "src2"]}}, "coalesce(source NOT IN ('src1', 'src2'), true)")
 _filtered("filter_range", {"n_chars": {"$gte": 1000, "$lt": 3000}}, "n_chars >= 1000 AND n_chars < 3000")
 _filtered("filter_and_or", {"$or": [{"lang": "fr"}, {"$and": [{"source": "src3"}, {"n_chars": {"$gt": 500}}]}]}, "lang = 'fr' OR (source = 'src3' AND n_chars > 500)")
-_filtered("filter_kind_mismatch", {"n_chars": {"$gt": "5"}}, "false")
+_filtered("filter_kind_mismatch", {"$or": [{"n_chars": {"$gt": "5"}}, {"lang": "fr"}]}, "lang = 'fr'")
 
 
 @query("""WITH t AS (SELECT d.doc_id, list_filter([d.lang, CASE WHEN l.quality = 1 THEN 'good' END, CASE WHEN l.toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS tags FROM documents d LEFT JOIN labels l USING (doc_id))
@@ -282,11 +282,6 @@ def html_headings(spark, d):
     )
 
 
-@query()
-def strip_boilerplate(spark, d):
-    return clean.strip_repeated_lines(_docs(spark, d).where("text is not null"))
-
-
 _HASH = r"substr(sha256(trim(regexp_replace(lower(coalesce(text, '')), '[\x09-\x0D\x20]+', ' ', 'g'))), 1, 16)"
 
 
@@ -309,16 +304,12 @@ def repeated_line_share(spark, d):
 _FIG = r"""f AS (SELECT doc_id AS id, coalesce(text, '') AS t, length(regexp_replace(coalesce(text, ''), '[\x09-\x0D\x20]', '', 'g')) AS visible, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÖØ-öø-ÿ]')) AS DOUBLE) AS letters, regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÖØ-öø-ÿ]+') AS w FROM documents),
 g AS (SELECT id, CAST(length(t) AS BIGINT) AS chars, CAST(len(w) AS BIGINT) AS words, CAST(length(t) - length(replace(t, chr(12), '')) + 1 AS BIGINT) AS pages, CAST(len(regexp_extract_all(t, '(?m)^#{1,6} ')) AS BIGINT) AS headings, CAST(visible AS BIGINT) AS visible,
  round(letters / greatest(visible, 1), 6) AS letter_ratio, round(CAST(len(list_filter(w, lambda x: length(x) = 1 AND lower(x) NOT IN ('a', 'i'))) AS DOUBLE) / greatest(len(w), 1), 6) AS single_ratio, round(letters / greatest(len(w), 1), 6) AS word_length FROM f)"""
+_MORE = r"SELECT g.*, CAST(len(regexp_extract_all(t, '(?m)^\|[ :|-]*-[ :|-]*\|$')) AS BIGINT) AS tables, round(len(regexp_extract_all(t, chr(65533))) / greatest(f.visible, 1), 6) AS bad_ratio FROM g JOIN f USING (id)"
 
 
-@query(f"WITH {_FIG} SELECT * FROM g")
+@query(f"WITH {_FIG} {_MORE}")
 def file_health(spark, d):
-    return health.figures(_docs(spark, d)).drop("tables", "bad_ratio")
-
-
-@query()
-def quality_flags(spark, d):
-    return health.health(_docs(spark, d)).select("id", "flags")
+    return health.figures(_docs(spark, d))
 
 
 @query()
@@ -337,15 +328,14 @@ def pii_detect(spark, d):
     return _docs(spark, d).select("id", F.regexp_count(t, F.lit(guards.PII["email"])).cast("long").alias("emails"), t.rlike(guards.PII["ip"]).alias("has_ip"))
 
 
-@query(f"SELECT doc_id AS id, regexp_replace(text, '{_EMAIL}', '[EMAIL]', 'g') AS text FROM documents WHERE regexp_matches(text, '{_EMAIL}')")
-def pii_redact(spark, d):
-    docs = _docs(spark, d).where(F.col("text").rlike(guards.PII["email"]))
-    return docs.select("id", guards.redact(F.col("text"), ("email",)).alias("text"))
+_PERSONAL = {k: guards.PII[k].replace("'", "''") for k in ("ssn", "email", "ip", "phone")}
 
 
-@query()
-def pii_kinds(spark, d):
-    return _docs(spark, d).select("id", guards.pii_kinds(F.col("text")).alias("kinds")).where("size(kinds) > 0")
+@query(f"""SELECT doc_id AS id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{_PERSONAL["ssn"]}', '[SSN]', 'g'), '{_PERSONAL["email"]}', '[EMAIL]', 'g'), '{_PERSONAL["ip"]}', '[IP]', 'g'), '{_PERSONAL["phone"]}', '[PHONE]', 'g') AS text
+FROM (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN ' Call +49 170 1234567 or 123-45-6789.' ELSE '' END AS t FROM documents)""")
+def pii_redact(spark, d):
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("id") % 3 == 0, " Call +49 170 1234567 or 123-45-6789.").otherwise(""))
+    return _docs(spark, d).select("id", guards.redact(text, ("ssn", "email", "ip", "phone")).alias("text"))
 
 
 @query("SELECT conv_id, turn, " + " + ".join(f"CAST(regexp_matches(coalesce(text, ''), '{p}') AS INTEGER)" for p in guards.INJECTION.values()) + " AS hits FROM conversations")
@@ -436,16 +426,24 @@ def threshold_gate(spark, d):
     return evaluation.gate(evaluation.summarize(_long(spark, d)), {"hit": 0.92, "mrr": 0.78, "error_rate": 0.1})
 
 
-@query(f"WITH {_METRICS}, a AS (SELECT metric, round(avg(value), 6) AS now FROM long GROUP BY metric), b AS (SELECT metric, round(avg(value), 6) AS before FROM long WHERE query_id % 2 = 0 GROUP BY metric) SELECT metric, before, now, round(now - before, 6) AS delta FROM a JOIN b USING (metric)")
+_SHALLOW = """found3 AS (SELECT query_id, count(DISTINCT id) AS n, min("rank") AS best FROM r JOIN (SELECT DISTINCT * FROM gold) USING (query_id, id) WHERE "rank" <= 3 GROUP BY query_id),
+m3 AS (SELECT query_id, CAST(coalesce(n, 0) > 0 AS DOUBLE) AS hit, round(CAST(coalesce(n, 0) AS DOUBLE) / wanted, 6) AS recall, round(coalesce(CAST(1 AS DOUBLE) / best, 0), 6) AS mrr FROM wanted LEFT JOIN found3 USING (query_id)),
+long3 AS (SELECT query_id, 'hit' AS metric, hit AS value FROM m3 UNION ALL SELECT query_id, 'recall', recall FROM m3 UNION ALL SELECT query_id, 'mrr', mrr FROM m3)"""
+
+
+def _shallow(spark, d) -> DataFrame:
+    """The same metrics of a search that returns three."""
+    return evaluation.melt(evaluation.retrieval_metrics(_search(spark, d, 3), _gold(spark, d), _asks(spark, d)), "hit", "recall", "mrr")
+
+
+@query(f"WITH {_METRICS}, {_SHALLOW}, a AS (SELECT metric, round(avg(value), 6) AS now FROM long GROUP BY metric), b AS (SELECT metric, round(avg(value), 6) AS before FROM long3 GROUP BY metric) SELECT metric, before, now, round(now - before, 6) AS delta FROM a JOIN b USING (metric)")
 def baseline_compare(spark, d):
-    x = _long(spark, d)
-    return evaluation.compare(evaluation.summarize(x), evaluation.summarize(x.where("query_id % 2 = 0")))
+    return evaluation.compare(evaluation.summarize(_long(spark, d)), evaluation.summarize(_shallow(spark, d)))
 
 
-@query(f"WITH {_METRICS} SELECT metric, round(avg(value), 6) AS full_, round(avg(value) FILTER (query_id % 2 = 0), 6) AS even FROM long GROUP BY metric")
+@query(f"WITH {_METRICS}, {_SHALLOW}, a AS (SELECT metric, round(avg(value), 6) AS ten FROM long GROUP BY metric), b AS (SELECT metric, round(avg(value), 6) AS three FROM long3 GROUP BY metric) SELECT metric, ten, three FROM a JOIN b USING (metric)")
 def ablation_pivot(spark, d):
-    x = _long(spark, d)
-    return evaluation.ablation({"full_": evaluation.summarize(x), "even": evaluation.summarize(x.where("query_id % 2 = 0"))})
+    return evaluation.ablation({"ten": evaluation.summarize(_long(spark, d)), "three": evaluation.summarize(_shallow(spark, d))})
 
 
 # ---------------------------------------------------------------- synthetic questions, copies, quotes
@@ -460,13 +458,6 @@ def ngram_copied(spark, d):
     return synth.copied_from(_t(spark, d, "benchmark").select("item_id", "text"), _docs(spark, d))
 
 
-@query("""WITH s AS (SELECT min(id) AS id, w FROM (SELECT conv_id * 100 + turn AS id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) AS w FROM conversations WHERE role = 'user') GROUP BY w),
-p AS (SELECT a.id AS a, b.id AS b, round(CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM s a JOIN s b ON a.id < b.id WHERE len(a.w) > 0 AND len(b.w) > 0) SELECT * FROM p WHERE similarity >= 0.75""")
-def near_dup_jaccard(spark, d):
-    x = _t(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
-    return synth.similar_questions(x, 0.75)
-
-
 @query(f"WITH {_GOLD} SELECT query_id, id FROM gold")
 def quote_verify(spark, d):
     return _gold(spark, d)
@@ -530,7 +521,7 @@ def history_window(spark, d):
 
 @query(f"""WITH {_BM25}, {_ranked('scored', 3)} SELECT query_id, string_agg('[' || "rank" || '] ' || d.doc_id || chr(10) || d.text, chr(10) || chr(10) ORDER BY "rank") AS context FROM r JOIN documents d ON d.doc_id = r.id GROUP BY query_id""")
 def context_assemble(spark, d):
-    found = search.bm25(_asks(spark, d), _docs(spark, d), 3).join(_docs(spark, d), "id")
+    found = _search(spark, d, 3).join(_docs(spark, d), "id")
     part = F.concat(F.lit("["), "rank", F.lit("] "), F.col("id").cast("string"), F.lit("\n"), "text")
     gathered = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))).alias("s"))
     return gathered.select("query_id", F.array_join(F.transform("s", lambda x: x["p"]), "\n\n").alias("context"))
@@ -547,13 +538,7 @@ def usage_cost(spark, d):
 
 @query()
 def answer_pipeline(spark, d):
-    return answering.answer(_asks(spark, d), _docs(spark, d)).select("query_id", "answer", "abstained", "reason", "proposed", "verified", "sources")
-
-
-@query()
-def multi_query_fuse(spark, d):
-    variants = _asks(spark, d).select("query_id", F.posexplode(F.array("text", F.substring("text", 1, 60))).alias("variant", "text"))
-    return answering.search_variants(variants, _docs(spark, d))
+    return answering.answer(_asks(spark, d), _docs(spark, d), index=_index(spark, d)).select("query_id", "answer", "abstained", "reason", "proposed", "verified", "sources")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
