@@ -376,13 +376,20 @@ def _encode(model):
     return run
 
 
+def _coded(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, tokens of each row, classes of all) of texts of about limit tokens together."""
+    offsets = np.r_[0, np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))].astype(np.int64)
+    for i, j in slices(offsets, limit):
+        yield i, j, np.diff(offsets[i : j + 1]), np.frombuffer(b"".join(column.slice(i, j - i).to_pylist()), np.uint8)
+
+
 def _class_bigrams(k: int):
     def run(batches):
         total = np.zeros(k * k, np.int64)
         for batch in batches:
-            c = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).astype(np.int64)
-            if len(c):
-                total += np.bincount(np.r_[k - 1, c[:-1]] * k + c, minlength=k * k)
+            for _, _, _, c in _coded(batch.column(0)):
+                if len(c):
+                    total += np.bincount(np.r_[np.uint8(k - 1), c[:-1]].astype(np.int32) * k + c, minlength=k * k)
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], ["pair", "n"])
 
@@ -394,16 +401,14 @@ def _score(model):
         m: Model = model.value
         size = np.log10(m.n + m.v + 1)
         for batch in batches:
-            raw = batch.column("classes").to_pylist()
-            c = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
-            if not len(c):
-                continue
-            row = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
-            step = m.transition[np.r_[m.clusters, c[:-1]], c] - size[c]
-            score = batch.column("emit").to_numpy() + np.bincount(row, step, len(raw))
+            total = [np.zeros(0)]
+            for i, j, tokens, c in _coded(batch.column("classes")):
+                step = m.transition[np.r_[np.uint8(m.clusters), c[:-1]], c] - size[c]
+                total.append(np.bincount(np.repeat(np.arange(j - i), tokens), step, j - i))
+            score = batch.column("emit").to_numpy() + np.concatenate(total)
             held = pc.invert(batch.column("train"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), held, batch.column("n_tokens"), batch.column("n_known"), pa.array(np.full(len(raw), m.total, np.int64)), batch.column("base_score"), pa.array(score)],
+                [batch.column("doc_id"), held, batch.column("n_tokens"), batch.column("n_known"), pa.array(np.full(len(score), m.total, np.int64)), batch.column("base_score"), pa.array(score)],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
