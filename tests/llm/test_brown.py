@@ -154,3 +154,10 @@ def test_every_training_word_has_the_cluster_of_its_contexts(spark):
     want = {i: sum(math.log10(step(a, b)) for a, b in zip(path[i], path[i][1:])) + sum(math.log10((count[w] + 1) / (size[of[w] if w in of else unseen(w)] + 1)) for w in [*tokens(t), None]) for i, t in rows}
     got = {r.doc_id: r.score for r in score(spark, df, p).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_a_very_long_text_ties_and_repeats(spark):
+    rows = [(0, "the cat sat " * 150_000)] + [(i, "a b c") for i in (5, 5, 6)] + [(7, None), (None, "a b c")]
+    got = score(spark, spark.createDataFrame(rows, "doc_id long, text string"), Brown(classes=4)).collect()
+    assert sorted(x.n_tokens for x in got) == [1, 4, 4, 4, 4, 450_001]
+    assert len({round(x.score, 9) for x in got if x.n_tokens == 4}) == 1 and all(math.isfinite(x.score) and x.score < 0 for x in got)

@@ -75,3 +75,27 @@ def test_different_texts_under_one_doc_id_are_told_apart(spark):
     docs = spark.createDataFrame([(*x, "en", "s", 1) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, text("a")), (7, text("b")), (8, text("c")), (8, text("d")), (None, text("a")), (None, text("a"))])
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_tables(spark):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_very_long_texts_clashing_names_and_repeats(spark):
+    plain = [(i, t, lang, f"s{i % 2}", 1, "a", i, 2.0) for i, t, lang in corpus(120, 8)]
+    long = (900, "the and tion " * 120_000, "en", "s1", 1, "b", 7, 1.0)
+    rows = [*plain, long, (901, *long[1:]), *[(902, "wh er ing the " * 30, "en", "s0", 1, "c", 8, 1.0)] * 50]
+    docs = spark.createDataFrame(rows, SCHEMA + ", row string, __key long, size double").repartition(5)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
+        ids = Counter(r.doc_id for r in docs.collect())
+        if name == "near_duplicates":
+            assert ids[900] == 1 and ids[901] == 0 and ids[902] == 1
+        else:
+            assert ids[900] >= (name == "language_id")
+    packed = corpus_pipeline.STAGES[3][1](spark, docs, "").collect()
+    assert sum(p.length for p in packed if p.start == 0) > 0 and {p.doc_id for p in packed} == set(ids)
