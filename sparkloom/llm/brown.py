@@ -107,6 +107,8 @@ def _vocabulary(p: Brown):
             yield out(*tally.take())
         if texts:
             yield pa.RecordBatch.from_arrays([pa.array([int(END)], pa.int64()), pa.array([-1], pa.int16()), pa.array([texts], pa.int64())], ["word", "shape", "n"])
+        known.clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -245,8 +247,9 @@ def _contexts(model):
         def merged():
             word, slot, n = (np.concatenate(x) for x in zip(*held))
             names, at = np.unique(word, return_inverse=True)
-            key, n = count_by(at.astype(np.int64) * (2 * k) + slot, n)
-            return names[key // (2 * k)], key % (2 * k), n
+            del word
+            key, n = count_by(at * (2 * k) + slot, n)
+            return names[key // (2 * k)], (key % (2 * k)).astype(np.int16), n.astype(np.int32)
 
         def out():
             word, slot, n = merged()
@@ -265,7 +268,7 @@ def _contexts(model):
                 before = np.r_[m.of[-1], c[:-1]][spot]
                 after = c[spot + 1]  # a word is never last, each text has its end
                 word = w.hash[at[spot]]
-                held.append((np.r_[word, word], np.r_[before, k + after], np.ones(2 * len(spot), np.int64)))
+                held.append((np.r_[word, word], np.r_[before, k + after].astype(np.int16), np.ones(2 * len(spot), np.int32)))
                 if sum(len(x[0]) for x in held) > 2_500_000:
                     held = [merged()]
                     if len(held[0][0]) > 1_250_000:
@@ -273,6 +276,8 @@ def _contexts(model):
                         held = []
         if held:
             yield out()
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -43,7 +43,7 @@ def _power(base: int, n: int) -> np.ndarray:
         got = np.full(max(n, SLICE + 1), base, np.uint64)
         got[0] = 1
         got = np.multiply.accumulate(got)
-        if n <= 8 * SLICE:
+        if n <= 2 * SLICE:  # longer texts are rare, and their powers aren't worth keeping
             _powers[str(base)] = got
     return got
 
