@@ -236,25 +236,12 @@ def _smooth(counts: np.ndarray) -> np.ndarray:
 
 
 def _contexts(model):
-    """text -> (word, slot, n) of words outside the core: how often each class stands before (slot below
-    the number of classes) and after the word, added up as far as memory allows."""
+    """text -> (word, slot) of words outside the core, two rows a place: the class before the word (slot below
+    the number of classes) and the class after it. Adding them up here would save few rows, as most are rare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         k, size = len(m.counts), len(m.core)
-        held: list[tuple] = []
-
-        def merged():
-            word, slot, n = (np.concatenate(x) for x in zip(*held))
-            names, at = np.unique(word, return_inverse=True)
-            del word
-            key, n = count_by(at * (2 * k) + slot, n)
-            return names[key // (2 * k)], (key % (2 * k)).astype(np.int16), n.astype(np.int32)
-
-        def out():
-            word, slot, n = merged()
-            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(slot.astype(np.int16)), pa.array(n.astype(np.int64))], ["word", "slot", "n"])
-
         for batch in batches:
             data, offsets = buffers(batch.column(0))
             for i, j in slices(offsets):
@@ -267,17 +254,8 @@ def _contexts(model):
                     continue
                 before = np.r_[m.of[-1], c[:-1]][spot]
                 after = c[spot + 1]  # a word is never last, each text has its end
-                word = w.hash[at[spot]]
-                held.append((np.r_[word, word], np.r_[before, k + after].astype(np.int16), np.ones(2 * len(spot), np.int32)))
-                if sum(len(x[0]) for x in held) > 2_500_000:
-                    held = [merged()]
-                    if len(held[0][0]) > 1_250_000:
-                        yield out()
-                        held = []
-        if held:
-            yield out()
-        held.clear()
-        pa.default_memory_pool().release_unused()
+                word = w.hash[at[spot]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[word, word]), pa.array(np.r_[before, k + after].astype(np.int16))], ["word", "slot"])
 
     return run
 
@@ -302,15 +280,16 @@ def best_class(counts: np.ndarray, clusters: int, head: np.ndarray, slot: np.nda
 
 
 def _assign(model):
-    """(word, slot, n) sorted by word and slot -> (word, class)."""
+    """(word, slot) sorted by both -> (word, class)."""
 
     def run(batches):
         m: Model = model.value
         clusters = m.clusters
         for part in _groups(batches, "word"):
-            word, slot, n = (part.column(c).to_numpy() for c in ("word", "slot", "n"))
+            word, slot = (part.column(c).to_numpy() for c in ("word", "slot"))
             first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (slot[1:] != slot[:-1])])
-            word, slot, n = word[first], slot[first].astype(np.int64), np.add.reduceat(n, first)
+            n = np.diff(np.r_[first, len(word)])
+            word, slot = word[first], slot[first].astype(np.int64)
             head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             yield pa.RecordBatch.from_arrays([pa.array(word[head]), pa.array(best_class(m.counts, clusters, head, slot, n).astype(np.int16))], ["word", "class"])
 
@@ -472,7 +451,7 @@ def assign(spark: SparkSession, texts: DataFrame, model: Model, vocabulary: Data
         m.counts = np.ones((1 + len(m.counts), 1 + len(m.counts)))
         m.of = m.of + 1
     held = spark.sparkContext.broadcast(m)
-    contexts = texts.mapInArrow(_contexts(held), "word long, slot short, n long").repartition(shuffle_partitions(spark), "word").sortWithinPartitions("word", "slot")
+    contexts = texts.mapInArrow(_contexts(held), "word long, slot short").repartition(shuffle_partitions(spark), "word").sortWithinPartitions("word", "slot")
     found = contexts.mapInArrow(_assign(held), "word long, class short")
     words = ws.save(vocabulary.where("shape >= 0").join(found, "word"), "classes")
     m.n, m.v = np.zeros(m.clusters + 1, np.int64), np.zeros(m.clusters + 1, np.int64)
