@@ -235,13 +235,24 @@ def _smooth(counts: np.ndarray) -> np.ndarray:
     return np.log10((counts + kinds * prior) / (n + kinds))
 
 
-def _contexts(model):
-    """text -> (word, slot) of words outside the core, two rows a place: the class before the word (slot below
-    the number of classes) and the class after it. Adding them up here would save few rows, as most are rare."""
+def _contexts(model, limit: int = 1_000_000):
+    """text -> (word, slot, n) of words outside the core: how often each class stands before (slot below
+    the number of classes) and after the word, added up over about limit rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         k, size = len(m.counts), len(m.core)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out():
+            word, slot = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(word)
+            word, slot = word[order], slot[order]
+            heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            key, n = np.unique(np.repeat(np.arange(len(heads)) * (2 * k), np.diff(np.r_[heads, len(word)])) + slot, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(word[heads][key // (2 * k)].view(np.int64)), pa.array((key % (2 * k)).astype(np.int16)), pa.array(n)], ["word", "slot", "n"])
+
         for batch in batches:
             data, offsets = buffers(batch.column(0))
             for i, j in slices(offsets):
@@ -254,8 +265,12 @@ def _contexts(model):
                     continue
                 before = np.r_[m.of[-1], c[:-1]][spot]
                 after = c[spot + 1]  # a word is never last, each text has its end
-                word = w.hash[at[spot]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[word, word]), pa.array(np.r_[before, k + after].astype(np.int16))], ["word", "slot"])
+                word = w.hash[at[spot]]
+                held.append((np.r_[word, word], np.r_[before, k + after].astype(np.int16)))
+                if sum(len(x[0]) for x in held) > limit:
+                    yield out()
+        if held:
+            yield out()
 
     return run
 
@@ -280,18 +295,18 @@ def best_class(counts: np.ndarray, clusters: int, head: np.ndarray, slot: np.nda
 
 
 def _assign(model):
-    """(word, slot) sorted by both -> (word, class)."""
+    """(word, slot, n) sorted by word -> (word, class)."""
 
     def run(batches):
         m: Model = model.value
-        clusters = m.clusters
+        k = len(m.counts)
         for part in _groups(batches, "word"):
-            word, slot = (part.column(c).to_numpy() for c in ("word", "slot"))
-            first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (slot[1:] != slot[:-1])])
-            n = np.diff(np.r_[first, len(word)])
-            word, slot = word[first], slot[first].astype(np.int64)
-            head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(word[head]), pa.array(best_class(m.counts, clusters, head, slot, n).astype(np.int16))], ["word", "class"])
+            word, slot, n = (part.column(c).to_numpy() for c in ("word", "slot", "n"))
+            of = np.cumsum(np.r_[False, word[1:] != word[:-1]])
+            key, n = count_by(of * (2 * k) + slot, n)
+            head = np.flatnonzero(np.r_[True, key[1:] // (2 * k) != key[:-1] // (2 * k)])
+            names = word[np.flatnonzero(np.r_[True, of[1:] != of[:-1]])]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(best_class(m.counts, m.clusters, head, key % (2 * k), n).astype(np.int16))], ["word", "class"])
 
     return run
 
@@ -451,7 +466,7 @@ def assign(spark: SparkSession, texts: DataFrame, model: Model, vocabulary: Data
         m.counts = np.ones((1 + len(m.counts), 1 + len(m.counts)))
         m.of = m.of + 1
     held = spark.sparkContext.broadcast(m)
-    contexts = texts.mapInArrow(_contexts(held), "word long, slot short").repartition(shuffle_partitions(spark), "word").sortWithinPartitions("word", "slot")
+    contexts = texts.mapInArrow(_contexts(held), "word long, slot short, n long").repartition(shuffle_partitions(spark), "word").sortWithinPartitions("word")  # one number: no rows are compared
     found = contexts.mapInArrow(_assign(held), "word long, class short")
     words = ws.save(vocabulary.where("shape >= 0").join(found, "word"), "classes")
     m.n, m.v = np.zeros(m.clusters + 1, np.int64), np.zeros(m.clusters + 1, np.int64)
