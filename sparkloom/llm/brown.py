@@ -77,7 +77,7 @@ def _vocabulary(p: Brown):
     """text -> (word, shape, n) as far as this task has read; the end token once for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, texts = Tally(), 0
+        tally, texts = Tally(500_000), 0
 
         def out(words, n):
             # the shape rides in the low bits while counting; it is a function of the word
@@ -100,7 +100,7 @@ def _vocabulary(p: Brown):
                 tally.add(words, n)
                 known["word"].append(words)
                 known["shape"].append(shape_of(w, p)[at].astype(np.int16))
-                if sum(map(len, known["word"])) > 3_000_000:
+                if sum(map(len, known["word"])) > 1_000_000:
                     yield out(*tally.take())
                     known = {"word": [], "shape": []}
         if known["word"]:
