@@ -76,7 +76,7 @@ class KnowledgeBase:
         return hashlib.sha256(f"{self.index.path}|{self.index.version()}|{self.settings['embedder']}".encode()).hexdigest()[:20]
 
     def keyword_index(self) -> KeywordIndex:
-        return KeywordIndex.build(self.chunks(), self._version(), "kb-postings")
+        return KeywordIndex.build(self.chunks(), self._version(), "kb-terms")
 
     def vectors(self) -> DataFrame:
         return ensure(self.spark, "kb-vectors", self._version(), lambda: self.embed(self.chunks().select("id", "text")))
