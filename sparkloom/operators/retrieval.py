@@ -14,7 +14,7 @@ from ..functions.text import json_object, sigmoid
 from ..tables import scratch
 from .answering import Model, complete, condense, expand_queries, hyde, rewrite
 from .filters import AccessRules, Caller, Filter, combine, compile_filter
-from .search import KeywordIndex, bm25, expand_parents, hashed_vectors, nearest, rrf, top, weighted
+from .search import KeywordIndex, bm25, expand_parents, hashed_vectors, nearest, only, rrf, top, weighted
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,9 @@ def search_once(queries: DataFrame, chunks: DataFrame, o: Retrieval, k: int, all
     lists = []
     if o.mode != "sparse":
         asks = embed(queries.select(F.col("query_id").alias("id"), "text")).withColumnRenamed("id", "query_id")
-        held = (vectors if vectors is not None else embed(chunks)).join(allowed, "id", "left_semi")
+        held = vectors if vectors is not None else embed(chunks)
+        n, dims = held.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+        held = only(held, allowed, n * (8 * (dims or 0) + 64))
         lists.append(nearest(asks, held, depth, digits=o.digits, same=True))
     if o.mode != "dense":
         lists.append(bm25(queries, chunks, depth, keep=allowed, index=index))
